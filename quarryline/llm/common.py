@@ -39,34 +39,55 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluates value once per row and hands it to body; a plain reuse inside a lambda would evaluate it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def prefix_sums(values: Column) -> Column:
-    """Exclusive running sums of an array of longs, in blocks, so that long arrays stay far from quadratic."""
+    """Running sums of an array of longs (entry i sums 0 to i), in blocks, so that long arrays stay far from quadratic."""
     zero = F.lit(0).cast("long")
-    n = F.size(values)
     add = lambda a, b: a + b
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: F.aggregate(F.slice(values, b * BLOCK + 1, BLOCK), zero, add))
-    return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda i: F.aggregate(F.slice(values, F.floor(i / BLOCK).cast("int") * BLOCK + 1, i % BLOCK), F.aggregate(F.slice(blocks, 1, F.floor(i / BLOCK).cast("int")), zero, add), add),
-        )
+    block = lambda i: F.floor(i / BLOCK).cast("int")
+    totals = lambda v: F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), zero, add))
+    running = lambda v, t: F.transform(
+        F.sequence(F.lit(0), F.size(v) - 1),
+        lambda i: F.aggregate(F.slice(v, block(i) * BLOCK + 1, i % BLOCK + 1), F.aggregate(F.slice(t, F.lit(1), block(i)), zero, add), add),
     )
+    return let(values, lambda v: F.when(F.size(v) > 0, let(totals(v), lambda t: running(v, t))).otherwise(F.array().cast("array<bigint>")))
+
+
+SPANS = "array<struct<s:bigint,e:bigint,body:string,part:string>>"
 
 
 def match_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """Leftmost non-overlapping matches of a pattern that never matches nothing: array of (s, e, body, part).
 
     s and e count code points, e exclusive; part is the numbered group. The gaps between matches come from
-    split, the matches from regexp_extract_all; both walk the text with the same matcher, so that the
-    lengths of gaps and matches add up to positions. Texts without a match stop at the first test.
+    split, the matches from regexp_extract_all; both walk the text with the same matcher, so the lengths of
+    gaps and matches add up to positions. Texts without a match stop at the first test.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), F.transform(found, lambda m: F.length(m).cast("long")), lambda g, m: g + m)
-    ends = prefix_sums(F.concat(steps, F.array(F.lit(0).cast("long"))))  # exclusive sums: entry i + 1 is the end of match i
-    parts = found if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    spans = F.transform(
-        F.arrays_zip(found.alias("body"), parts.alias("part"), F.slice(ends, 2, F.size(found)).alias("e")),
-        lambda z: F.struct((z["e"] - F.length(z["body"])).alias("s"), z["e"].alias("e"), z["body"].alias("body"), z["part"].alias("part")),
+    raw = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("parts"),
+        F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long")).alias("gaps"),
     )
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<s:bigint,e:bigint,body:string,part:string>>"))
+
+    def placed(r: Column) -> Column:
+        steps = F.zip_with(r["found"], F.slice(r["gaps"], F.lit(1), F.size(r["found"])), lambda m, g: g + F.length(m))
+        return F.zip_with(
+            F.zip_with(r["found"], r["parts"], lambda m, p: F.struct(m.alias("body"), p.alias("part"))),
+            prefix_sums(steps),
+            lambda m, e: F.struct((e - F.length(m["body"])).alias("s"), e.alias("e"), m["body"].alias("body"), m["part"].alias("part")),
+        )
+
+    return F.when(text.rlike(pattern), let(raw, placed)).otherwise(no_spans())
+
+
+def no_spans() -> Column:
+    return F.array().cast(SPANS)
+
+
+def render(spans: Column) -> Column:
+    """kind:start:end, comma-joined, in the order given."""
+    return F.array_join(F.transform(spans, lambda z: F.concat_ws(":", z["kind"], z["s"].cast("string"), z["e"].cast("string"))), ",")
