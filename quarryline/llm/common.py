@@ -91,3 +91,12 @@ def no_spans() -> Column:
 def render(spans: Column) -> Column:
     """kind:start:end, comma-joined, in the order given."""
     return F.array_join(F.transform(spans, lambda z: F.concat_ws(":", z["kind"], z["s"].cast("string"), z["e"].cast("string"))), ",")
+
+
+#: Rows of one id each that may be broadcast: about 40 MB.
+MOST_BROADCAST = 2_000_000
+
+
+def bounded(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """Marks a counted, small table for broadcast; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= most else df

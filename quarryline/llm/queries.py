@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, pii, secrets
+from quarryline.llm import exact_dedup, ngram_join, pii, secrets
 from quarryline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
@@ -31,7 +35,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op5_ngram_join, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
