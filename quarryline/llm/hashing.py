@@ -50,11 +50,15 @@ def slices(texts: list):
         yield run
 
 
-def words(texts: list[bytes]):
+#: Separates words at everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def words(texts: list[bytes], separates: np.ndarray = _SPACE):
     """(hash, document number, start, end) of each word; ASCII white space separates, A-Z is lower-cased."""
     joined = b"\n".join(texts).lower() + b"\n"
     data = np.frombuffer(joined, np.uint8)
-    space = _SPACE[data]
+    space = separates[data]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     up, down = _power_tables(len(data) + 1)
