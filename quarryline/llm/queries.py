@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, langid, ngram_join, pii, secrets, toxicity
+from quarryline.llm import exact_dedup, langid, ngram_join, packing, pii, secrets, toxicity
 from quarryline.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
@@ -43,7 +47,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op5_ngram_join, op7_langid, op8_toxicity, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op5_ngram_join, op7_langid, op8_toxicity, op9_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
