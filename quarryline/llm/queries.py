@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, langid, ngram_join, packing, pii, secrets, toxicity
+from quarryline.llm import exact_dedup, langid, line_dedup, ngram_join, packing, pii, secrets, toxicity
 from quarryline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op5_ngram_join, op7_langid, op8_toxicity, op9_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op4_line_dedup, op5_ngram_join, op7_langid, op8_toxicity, op9_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
