@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import exact_dedup, langid, line_dedup, ngram_join, packing, pii, secrets, toxicity
+from quarryline.llm import decontamination, exact_dedup, langid, line_dedup, ngram_join, packing, pii, secrets, toxicity
 from quarryline.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op4_line_dedup, op5_ngram_join, op7_langid, op8_toxicity, op9_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op4_line_dedup, op5_ngram_join, op6_decontamination, op7_langid, op8_toxicity, op9_packing, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
