@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.llm import decontamination, exact_dedup, langid, line_dedup, ngram_join, packing, pii, secrets, toxicity
+from quarryline.llm import decontamination, exact_dedup, html_text, langid, line_dedup, ngram_join, packing, pii, secrets, toxicity
 from quarryline.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
@@ -55,7 +65,7 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op4_line_dedup, op5_ngram_join, op6_decontamination, op7_langid, op8_toxicity, op9_packing, op10_pii)}
+    return {f.__name__: f for f in (op1_secrets, op2_exact_dedup, op3_html_text, op4_line_dedup, op5_ngram_join, op6_decontamination, op7_langid, op8_toxicity, op9_packing, op10_pii, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
