@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.plans import joins
+from quarryline.plans import aggs, graphs, joins
 
 FLAGSHIP = "evidence_window_resolution"
-MODULES = (joins,)
+MODULES = (joins, aggs, graphs)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

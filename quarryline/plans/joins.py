@@ -105,22 +105,23 @@ def count_match_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH s AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) AS n FROM supplier WHERE s_nationkey = 3)
-SELECT l_orderkey, l_linenumber, s_suppkey, coalesce(s_name, 'unresolved') AS target FROM lineitem LEFT JOIN s ON l_linenumber = n WHERE l_orderkey < 2000""")
+SELECT l_orderkey, l_linenumber, s_suppkey, coalesce(s_name, 'unresolved') AS target FROM lineitem LEFT JOIN s ON l_linenumber = n""")
 def ordinal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A line number as 1-based index into the suppliers of one nation."""
     nation = table(spark, sf_dir, "supplier").where("s_nationkey = 3").withColumn("all", F.lit(1))
     listed = joins.numbered(nation, ["all"], ["s_suppkey"], "l_linenumber").select("l_linenumber", "s_suppkey", "s_name")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     return lines.join(listed, "l_linenumber", "left").select("l_orderkey", "l_linenumber", "s_suppkey", F.coalesce("s_name", F.lit("unresolved")).alias("target"))
 
 
 @query("""
-WITH b AS (SELECT p_partkey AS band_id, p_size AS lo, p_size + 5 AS hi FROM part WHERE p_partkey <= 40)
+WITH b AS (SELECT p_brand AS band_id, min(p_size) AS lo, min(p_size) + 5 AS hi FROM part GROUP BY p_brand)
 SELECT p.p_partkey, min(b.band_id) AS band_id FROM part p LEFT JOIN b ON p.p_size >= b.lo AND p.p_size < b.hi GROUP BY p.p_partkey""")
 def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first interval that contains a value. Intervals are cut into unit buckets, so the join is an equi-join."""
     part = table(spark, sf_dir, "part")
-    bands = part.where("p_partkey <= 40").select(F.col("p_partkey").alias("band_id"), F.explode(F.sequence("p_size", F.col("p_size") + 4)).alias("p_size"))
+    starts = part.groupBy(F.col("p_brand").alias("band_id")).agg(F.min("p_size").alias("lo"))
+    bands = starts.select("band_id", F.explode(F.sequence("lo", F.col("lo") + 4)).alias("p_size"))
     first = bands.groupBy("p_size").agg(F.min("band_id").alias("band_id"))
     return part.select("p_partkey", "p_size").join(first, "p_size", "left").select("p_partkey", "band_id")
 
@@ -208,15 +209,15 @@ def catalog_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT p_partkey AS part_id, p_name, p_brand, p_type FROM part WHERE p_partkey % 7 = 0), t AS (SELECT p_partkey AS candidate, p_name, p_brand, p_type FROM part WHERE p_partkey % 7 = 1),
+WITH k AS (SELECT p_partkey AS part_id, p_name, p_brand, p_type FROM part WHERE p_size > 40), t AS (SELECT p_partkey AS candidate, p_name, p_brand, p_type FROM part WHERE p_size <= 10),
 m AS (SELECT part_id, candidate, 0 AS level FROM k JOIN t USING (p_name) UNION SELECT part_id, candidate, 1 FROM k JOIN t ON k.p_brand = t.p_brand AND k.p_type = t.p_type UNION SELECT part_id, candidate, 2 FROM k JOIN t USING (p_type)),
 b AS (SELECT part_id, min(level) AS level FROM m GROUP BY part_id)
 SELECT k.part_id, b.level, count(m.candidate) AS n_candidates, min(m.candidate) AS first_candidate FROM k LEFT JOIN b USING (part_id) LEFT JOIN m ON m.part_id = b.part_id AND m.level = b.level GROUP BY k.part_id, b.level""")
 def cascading_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates by name, else by brand and type, else by type."""
     part = table(spark, sf_dir, "part")
-    keys = part.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand", "p_type")
-    targets = part.where("p_partkey % 7 = 1").select(F.col("p_partkey").alias("candidate"), "p_name", "p_brand", "p_type")
+    keys = part.where("p_size > 40").select(F.col("p_partkey").alias("part_id"), "p_name", "p_brand", "p_type")
+    targets = part.where("p_size <= 10").select(F.col("p_partkey").alias("candidate"), "p_name", "p_brand", "p_type")
     attempts = [keys.join(targets, on) for on in (["p_name"], ["p_brand", "p_type"], ["p_type"])]
     found = joins.cascade(keys.select("part_id"), attempts, "part_id")
     return found.groupBy("part_id", "level").agg(F.count("candidate").alias("n_candidates"), F.min("candidate").alias("first_candidate"))
@@ -232,10 +233,10 @@ def bridge_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy("o_orderkey").agg(joined_set(F.col("r_name")).alias("regions"))
 
 
-@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 > 0)")
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
 def dangling_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line keys that an inventory lacks."""
-    inventory = table(spark, sf_dir, "orders").where("o_orderkey % 3 > 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    inventory = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
     return table(spark, sf_dir, "lineitem").select("l_orderkey").distinct().join(inventory, "l_orderkey", "left_anti")
 
 
