@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.plans import aggs, graphs, joins
+from quarryline.plans import aggs, graphs, joins, texts
 
 FLAGSHIP = "evidence_window_resolution"
-MODULES = (joins, aggs, graphs)
+MODULES = (joins, aggs, graphs, texts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
