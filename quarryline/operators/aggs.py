@@ -22,9 +22,9 @@ def top_k_overflow(rows: DataFrame, key: str, value: str, k: int) -> DataFrame:
     from pyspark.sql.window import Window
 
     place = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    ranked = rows.select(key, value).distinct().withColumn("k", place)
+    ranked = rows.select(key, value).distinct().withColumn("topk_place", place)
     return ranked.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("k") <= k, F.struct("k", value)))), lambda s: s[value].cast("string")), ",").alias("ids"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("topk_place") <= k, F.struct("topk_place", value)))), lambda s: s[value].cast("string")), ",").alias("ids"),
         F.greatest(F.count(F.lit(1)) - k, F.lit(0)).cast("long").alias("overflow"),
     )
 
