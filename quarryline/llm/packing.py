@@ -30,10 +30,23 @@ CAPACITY, END_ID = 4096, 1
 LARGE, GROUPS = 8, 64
 #: Pivots of the linear programme at most; stopping early only costs quality.
 PIVOTS = 800
-#: Words whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
+#: Words whose ids a worker remembers twice over: the newest so many, and the generation before.
+REMEMBERED = 420_000
+#: A run of these at a word's end, after a letter, is a token sequence of its own for this tokenizer.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
-_tokenizers: dict[str, tuple] = {}
+_tokenizers: dict[str, Words] = {}
+
+
+class _Known(dict):
+    """Words and their ids; a word that is not there is noted and gives None."""
+
+    def __init__(self):
+        super().__init__()
+        self.asked: set[bytes] = set()
+
+    def __missing__(self, word: bytes) -> None:
+        self.asked.add(word)
 
 
 def default_tokenizer() -> str:
@@ -42,26 +55,86 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers. Spaces and line feeds end words for this
-    tokenizer, so the ids of a text are those of its words, which are remembered."""
-    if path not in _tokenizers:
+class Words:
+    """Ids of words as little-endian unsigned 32-bit numbers, each word encoded once while it is remembered.
+
+    ASCII white space ends words for this tokenizer and A-Z count as lower case, so the ids of a text are
+    those of its words. Texts that may hold special tokens are not lower-cased, for that could make some.
+    """
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = (Tokenizer.from_file(path), {"": b""})
-    tokenizer, known = _tokenizers[path]
-    split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({w for words in split for w in words if w not in known})
-    if len(known) + len(new) > REMEMBERED:
-        known.clear()
-        known[""] = b""
-        new = list({w for words in split for w in words if w})
-    for at in range(0, len(new), 20_000):
-        part = new[at : at + 20_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    return [b"".join([known[w] for w in words]) for words in split]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known, self.before = _Known(), _Known()
+        # the last token of a run of letters, and no other, carries the mark of a word's end
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def _encode_each(self, words: list[bytes]) -> None:
+        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode(self, new: list[bytes]) -> None:
+        """Words of letters go in one string, which costs half as much; their ids are told apart by the end marks."""
+        letters, mixed = [], []
+        for w in new:
+            (letters if w.decode().isalpha() else mixed).append(w)
+        for at in range(0, len(letters), 10_000):
+            part = letters[at : at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.nonzero(self.ends[ids])[0] + 1
+            if len(cuts) != len(part) or cuts[-1] != len(ids):
+                self._encode_each(part)
+                continue
+            data, lo = ids.tobytes(), 0
+            for w, hi in zip(part, (4 * cuts).tolist(), strict=True):
+                self.known[w] = data[lo:hi]
+                lo = hi
+        self._encode_each(mixed)
+
+    def _learn(self, new: set[bytes]) -> None:
+        known, before = self.known, self.before
+        rest, parts = set(), []
+        for w in new:
+            if (got := before.get(w)) is not None:
+                known[w] = got
+                continue
+            core = w.rstrip(MARKS)
+            if len(core) < len(w) and b"<|" not in w and core.decode()[-1:].isalpha():
+                parts.append((w, core, tail := w[len(core) :]))
+                for part in (core, tail):
+                    if part not in known:
+                        if (got := before.get(part)) is not None:
+                            known[part] = got
+                        else:
+                            rest.add(part)
+            else:
+                rest.add(w)
+        self._encode(list(rest))
+        for w, core, tail in parts:
+            known[w] = known[core] + known[tail]
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = _Known(), self.known
+        known = self.known
+        split = [(t.encode().lower() if "<|" not in t else t.encode()).split() for t in texts]
+        found = [list(map(known.__getitem__, words)) for words in split]
+        if known.asked:
+            new, known.asked = known.asked, set()
+            self._learn(new)
+            found = [[got if got is not None else known[w] for w, got in zip(words, have, strict=True)] if None in have else have for words, have in zip(split, found, strict=True)]
+        return [b"".join(got) for got in found]
+
+
+def token_bytes(texts: list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers."""
+    if path not in _tokenizers:
+        _tokenizers[path] = Words(path)
+    return _tokenizers[path].ids(texts)
 
 
 def _pieces(path: str, capacity: int):
@@ -69,14 +142,14 @@ def _pieces(path: str, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, batch.num_rows, 128):
+                part = batch.slice(lo, 128)
                 out: list[list] = [[], [], [], [], []]
-                for doc, tokens in zip(ids[lo : lo + 256], token_bytes(texts[lo : lo + 256], path), strict=True):
+                for doc, tokens in zip(part.column("doc_id").to_pylist(), token_bytes([t or "" for t in part.column("text").to_pylist()], path), strict=True):
                     tokens += end
                     for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                        part = tokens[at : at + 4 * capacity]
-                        for column, value in zip(out, (doc, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                        ids = tokens[at : at + 4 * capacity]
+                        for column, value in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids)), strict=True):
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
