@@ -82,13 +82,13 @@ def group_identity_association(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_custkey AS owner, min(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey HAVING count(*) = 1),
-b AS (SELECT user_id AS owner, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id HAVING count(*) = 1)
+WITH a AS (SELECT o_custkey AS owner, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey HAVING count(*) = 1),
+b AS (SELECT user_id AS owner, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' AND value > 60 GROUP BY user_id HAVING count(*) = 1)
 SELECT owner, o_orderkey, event_id FROM a JOIN b USING (owner)""")
 def one_to_one_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers with a single order and a single purchase event."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey")
-    events = table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("owner"), "event_id")
+    """Customers with a single pending order and a single large purchase event."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("owner"), "o_orderkey")
+    events = table(spark, sf_dir, "events").where("event_type = 'purchase' and value > 60").select(F.col("user_id").alias("owner"), "event_id")
     return joins.one_to_one(orders, events, ["owner"])
 
 
@@ -187,10 +187,10 @@ def mapped_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unmapped_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without pending orders."""
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf_dir, "customer").select("c_custkey", "c_name").join(orders, "c_custkey", "left_anti")
 
 
