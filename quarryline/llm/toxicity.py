@@ -101,10 +101,11 @@ def fit(rows: list[tuple[np.ndarray, int]], prior: float) -> ToxicityModel:
         for i in rng.permutation(len(fitted)):
             at, y = fitted[i]
             learner.update(np.append(at, 1 << BITS), y, 1.0)
-    every = np.arange((1 << BITS) + 1)
-    w = learner.weights(every)
-    there = np.nonzero(w[:-1])[0]
-    model = ToxicityModel(there, w[there], float(w[-1]))
+    there = np.nonzero(np.abs(learner.z[:-1]) > L1)[0]
+    model = ToxicityModel(there, learner.weights(there), float(learner.weights(np.array([1 << BITS]))[0]))
+    w = np.zeros(1 << BITS, np.float32)
+    w[there] = model.weights
+    del learner
     if not 0 < share < 1:
         model.bias = float(np.log((share + 0.02) / (1.02 - share)))  # one class only: its share is all there is to know
     elif held:
