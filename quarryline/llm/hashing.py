@@ -6,7 +6,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes of text that are hashed together; bounds the memory of a worker, not what is read.
-SLICE = 2_000_000
+SLICE = 500_000
 WORDS = 5
 _STEP = 0x9E3779B97F4A7C15
 #: Odd and 3 modulo 4, so that swapped letters never cancel.

@@ -2,16 +2,20 @@
 
 Sizes fall into bands [2^k, 2^(k+1)); a set also takes part in the next lower band when a partner may lie
 there. In a band, hashing deals the tokens into M segments. Two sets that link differ in at most H tokens,
-hence agree on at least M - H segments, so each set may leave out all but its H + 1 segment subsets that
-come first in one common order: the pair's first agreeing subset survives on both sides. The order is by
-cost, from a bounded sample of token frequencies: subsets whose every token is frequent come last, empty
-ones never. A wrong estimate costs time, not links. Sets with fewer than H + 1 filled segments index their
-deletion neighbourhoods down to single tokens as well.
-
-Each bucket of equal keys is compared to its first member, never pairwise, and links are verified on the
-whole sets. Buckets that then still span several components get further pivots, until every pair of
-members from different components has been compared. Only identities, keys and sets of candidates are
-shuffled, and frequent buckets are dealt out by a salt.
+hence agree on at least M - H segments, so each set may leave out all but its H + 1 + E segment subsets that
+come first in one common order: the pair's first E + 1 agreeing subsets survive on both sides (E is the
+band's). The order is by cost: subsets whose every token is frequent in a bounded sample come last, then
+those of few tokens, empty ones never. Once the true bucket sizes are counted, each set gives up the E of
+its shared keys with the largest buckets, again in one common order, so that a common key survives; pairs
+that share a passage only are gone by then. A wrong estimate costs time, not links. Sets with H + 1 + e
+filled segments, e less than E, give up e only; those with fewer than H + 1 index their deletion
+neighbourhoods down to single tokens as well and give up nothing.
+
+Each bucket of equal keys is compared to its first member, not pairwise. Where the other members then still
+lie in several components, those outside the bucket's first component meet the rest in blocks of bounded
+size. A comparison counts differing segments of two byte sketches, a lower bound of the symmetric difference;
+only what that leaves becomes a row and is verified on the whole sets. Only identities, keys, sketches and the
+sets of near pairs are shuffled, and frequent buckets are dealt out by a salt.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ NUM, DEN = 80, 100
 SAMPLE, FREQUENT, MOST_FREQUENT = 4000, 3, 50_000
 #: Members of a bucket that one task should see at most, for buckets known to be frequent.
 BUCKET = 2000
-#: Pivots that a bucket gets in each further round.
-PIVOTS = 8
+#: Members of a block, about; members from which on a bucket counts as large.
+BLOCK, LARGE = 512, 128
 _FILTER_BITS = 20
 
 
@@ -50,6 +54,11 @@ def segments(band):
     return np.maximum(np.minimum(4 * low, 64), (7 * low + 9) // 10)
 
 
+def extra(band):
+    """E: keys that the sets of a band send beyond the needed ones, so as to give up those that prove frequent."""
+    return 8 + (1 << np.asarray(band, np.int64)) // 32
+
+
 class Costs:
     """Sampled frequency levels: 0 for what is not frequent, else about the binary logarithm of the sampled count."""
 
@@ -72,7 +81,8 @@ class Costs:
 
 
 def keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, ids: np.ndarray, costs: Costs):
-    """(bucket, id, base) for all sets: base is the key of a salted bucket, else 0."""
+    """(bucket, id, base, spare) for all sets: base is the key of a salted bucket, else 0; spare is twice the
+    number of keys that the set may give up in this band, plus 1 for the lower band."""
     bands = np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)
     level = costs.level(token)
     out = []
@@ -89,24 +99,26 @@ def keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, ids: np.ndarra
         total = int(m.sum())
         sums = np.zeros(total, np.uint64)
         np.add.at(sums, seg, H.mix(tok, 6))
-        filled = np.zeros(total, bool)
-        filled[seg] = True
+        held = np.bincount(seg, minlength=total)
         rank = np.full(total, 63, np.int64)
         if lev.any():
             np.minimum.at(rank, seg, lev)
         else:
             rank[:] = 0
-        at = np.nonzero(filled)[0]
+        at = np.nonzero(held)[0]
         doc = np.repeat(np.arange(len(sizes)), m)[at]
         key = H.mix(sums[at] + (at - base[doc]).astype(np.uint64) * H.U(0x2545F4914F6CDD1D) + H.mix(band[doc].astype(np.uint64), 7), 8)
         rank = rank[at]
-        order = np.lexsort(((rank.astype(np.uint64) << H.U(57)) | (key >> H.U(7)), doc))
+        small = 7 - np.minimum(held[at], 7)
+        order = np.lexsort((((rank << 3) | small).astype(np.uint64) << H.U(55) | (key >> H.U(9)), doc))
         doc, key, rank = doc[order], key[order], rank[order]
         have = np.bincount(doc, minlength=len(sizes))
         place = np.arange(len(doc)) - (np.cumsum(have) - have)[doc]
         need = differ_at_most(sizes) + 1
-        kept = place < need[doc]
+        sent = np.minimum(have, need + extra(np.maximum(band, 0)))
+        kept = place < sent[doc]
         few = there & (have < need)
+        spare = 2 * np.maximum(0, sent - need) + int(lower)
         parts = [(doc[kept], key[kept], rank[kept])]
         if few.any():
             single = few[own]
@@ -115,32 +127,117 @@ def keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, ids: np.ndarra
             salts = costs.salts[r]
             salted = salts > H.U(1)
             salt = ids[d].view(np.uint64) % salts
-            out.append((np.where(salted, H.mix(k + H.mix(salt, 10), 11), k).view(np.int64), ids[d], np.where(salted, k, H.U(0)).view(np.int64)))
-    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64) for i in range(3))
+            out.append((np.where(salted, H.mix(k + H.mix(salt, 10), 11), k).view(np.int64), ids[d], np.where(salted, k, H.U(0)).view(np.int64), spare[d].astype(np.int32)))
+    return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64 if i < 3 else np.int32) for i in range(4))
+
+
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts) of runs of bounded size."""
+    column = batch.column("text").cast(pa.binary())
+    for lo in range(0, len(column), 256):
+        done = lo
+        for run in H.slices([t or b"" for t in column.slice(lo, 256).to_pylist()]):
+            yield done, run
+            done += len(run)
+
+
+def sketches(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """A byte for each of 2^k segments, k the band: the sum of the segment's tokens. Sketches of different bands fold."""
+    width = np.where(sizes > 0, 1 << np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    base = np.cumsum(width) - width
+    out = np.zeros(int(width.sum()), np.uint8)
+    mixed = H.mix(token, 12)
+    np.add.at(out, base[owner] + (mixed & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (mixed >> H.U(56)).astype(np.uint8))
+    return [out[i : i + w].tobytes() for i, w in zip(base.tolist(), width.tolist(), strict=True)]
+
+
+def may_link(size_a: int, size_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
+    """False only if the sets cannot link: each differing segment holds a token that one side lacks."""
+    x, y = np.frombuffer(sketch_a, np.uint8), np.frombuffer(sketch_b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] + x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] + y[len(y) // 2 :]
+    return NUM * max(size_a, size_b) <= DEN * min(size_a, size_b) and (DEN + NUM) * np.count_nonzero(x != y) <= (DEN - NUM) * (size_a + size_b)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [batch.column(c).to_pylist() for c in ("na", "nb", "sa", "sb")]
+        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*cols, strict=True)], pa.bool_()))
+
+
+class _Blocks:
+    """A list column of (set_id, label, n, sketch, bases) members, one block a row, read in place."""
 
+    def __init__(self, column: pa.Array):
+        self.at, members = column.offsets.to_numpy(), column.values
+        self.set_id, self.label, self.n = (members.field(i).to_numpy() for i in range(3))
+        sketch = members.field(3)
+        self.bases = members.field(4)
+        self.data, self.starts = np.frombuffer(sketch.buffers()[2], np.uint8), np.frombuffer(sketch.buffers()[1], np.int32)[sketch.offset : sketch.offset + len(sketch) + 1]
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+    def rows(self, i: int) -> slice:
+        return slice(self.at[i], self.at[i + 1])
+
+    def width(self, i: int) -> int:
+        return int(np.diff(self.starts[self.at[i] : self.at[i + 1] + 1]).min())
+
+    def sketches(self, i: int, width: int) -> np.ndarray:
+        """The block's sketches, folded to one width."""
+        out = np.zeros((self.at[i + 1] - self.at[i], width), np.uint8)
+        for j in range(len(out)):
+            lo, hi = self.starts[self.at[i] + j], self.starts[self.at[i] + j + 1]
+            out[j] = self.data[lo:hi].reshape(-1, width).sum(0, dtype=np.uint8)
+        return out
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of an odd member and any member with another label whose sketches allow a link, block by block.
+
+    A pair that shares several large buckets is told by the smallest key of them only; members carry the keys
+    of their large buckets for that.
+    """
+    for batch in batches:
+        pairs: set[tuple[int, int]] = set()
+        odd, every = _Blocks(batch.column("odd")), _Blocks(batch.column("every"))
+        for i, base in enumerate(batch.column("base").to_pylist()):
+            width = min(odd.width(i), every.width(i))
+            table, rows = every.sketches(i, width), every.rows(i)
+            size, label, ids = every.n[rows], every.label[rows], every.set_id[rows]
+            mine = odd.rows(i)
+            for j, sketch, one, n, its in zip(range(mine.start, mine.stop), odd.sketches(i, width), odd.set_id[mine].tolist(), odd.n[mine], odd.label[mine], strict=True):
+                ok = (label != its) & (NUM * np.maximum(size, n) <= DEN * np.minimum(size, n))
+                if not ok.any():
+                    continue
+                ok &= (DEN + NUM) * np.count_nonzero(table != sketch, axis=1) <= (DEN - NUM) * (size + n)
+                found = np.nonzero(ok)[0].tolist()
+                large = set(odd.bases[j].as_py() or ()) if found else set()
+                for k in found:
+                    if base not in large or next(x for x in every.bases[rows.start + k].as_py() if x in large) == base:
+                        other = int(ids[k])
+                        pairs.add((max(one, other), min(one, other)))
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
 
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, done = _texts(batch), 0
-        for run in H.slices(texts):
-            sizes, ids = H.set_ids(*H.shingle_sets(run), len(run))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(run)), pa.array(sizes.astype(np.int64)), pa.array(ids)], ["doc_id", "n_shingles", "set_id"])
-            done += len(run)
+        for done, run in _runs(batch):
+            owner, token = H.shingle_sets(run)
+            sizes, ids = H.set_ids(owner, token, len(run))
+            columns = [batch.column("doc_id").slice(done, len(run)), pa.array(sizes.astype(np.int64)), pa.array(ids), pa.array(sketches(owner, token, sizes), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "sketch"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run in H.slices(_texts(batch)):
+        for _, run in _runs(batch):
             yield pa.RecordBatch.from_arrays([pa.array(H.shingle_sets(run)[1].view(np.int64))], ["token"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for run in H.slices(_texts(batch)):
+        for _, run in _runs(batch):
             owner, token = H.shingle_sets(run)
             sizes, ids = H.set_ids(owner, token, len(run))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token.view(np.int64)))
@@ -151,7 +248,7 @@ def _keyed(costs):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task sends a set once, however many copies it reads
         for batch in batches:
-            for run in H.slices(_texts(batch)):
+            for _, run in _runs(batch):
                 owner, token = H.shingle_sets(run)
                 sizes, ids = H.set_ids(owner, token, len(run))
                 new = np.zeros(len(run), bool)
@@ -160,8 +257,8 @@ def _keyed(costs):
                         seen.add(x)
                         new[i] = True
                 fresh = new[owner]
-                bucket, who, base = keys(owner[fresh], token[fresh], np.where(new, sizes, 0), ids, costs.value)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(who), pa.array(base, mask=base == 0)], ["bucket", "set_id", "base"])
+                bucket, who, base, spare = keys(owner[fresh], token[fresh], np.where(new, sizes, 0), ids, costs.value)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(who), pa.array(base, mask=base == 0), pa.array(spare)], ["bucket", "set_id", "base", "spare"])
 
     return emit
 
@@ -176,23 +273,54 @@ def frequent_tokens(docs: DataFrame, rows: int) -> Costs:
 
 
 def buckets(docs: DataFrame, costs) -> DataFrame:
-    """(base, set_id, pivot) of the members of keys that several sets share; pivot is the first member of the (salted) bucket."""
-    rows = docs.select("text").mapInArrow(_keyed(costs), "bucket long, set_id long, base long")
-    w = Window.partitionBy("bucket").orderBy("set_id")
-    first = F.min("set_id").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    other = F.coalesce(F.lag("set_id").over(w) != F.col("set_id"), F.lit(False)) | F.coalesce(F.lead("set_id").over(w) != F.col("set_id"), F.lit(False))
-    found = rows.select(F.col("base").isNotNull().alias("salted"), F.coalesce("base", "bucket").alias("base"), "set_id", first.alias("pivot"), other.alias("met"))
-    return found.where(F.col("salted") | F.col("met") | (F.col("pivot") != F.col("set_id"))).drop("met")
-
+    """(base, bucket, set_id, salted): the keys that several sets share, less what each set gives up.
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
-    left = sets.select(F.col("set_id").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("set_id").alias("b"), F.col("tokens").alias("tb"))
-    sized = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    near = (NUM * F.greatest(F.size("ta"), F.size("tb")) <= DEN * F.least(F.size("ta"), F.size("tb")))
-    return sized.where(near).where(DEN * shared >= NUM * (F.size("ta") + F.size("tb") - shared)).select("a", "b")
+    A set gives up its most frequent keys, those of salted buckets first. Their true sizes are not known
+    here, so these follow each other by key.
+    """
+    rows = docs.select("text").mapInArrow(_keyed(costs), "bucket long, set_id long, base long, spare int")
+    together = Window.partitionBy("bucket")
+    met = rows.select(
+        F.col("base").isNotNull().alias("salted"), "bucket", F.coalesce("base", "bucket").alias("base"), "set_id", "spare",
+        F.coalesce(F.lag("set_id").over(together.orderBy("set_id")) != F.col("set_id"), F.lit(True)).alias("new"),
+        F.min("set_id").over(together).alias("low"), F.max("set_id").over(together).alias("high"), F.count(F.lit(1)).over(together).alias("rows"),
+    ).where("new and (salted or low <> high)")
+    own = Window.partitionBy("set_id", F.col("spare") % 2).orderBy(F.col("salted").desc(), F.when(F.col("salted"), 0).otherwise(F.col("rows")).desc(), "base")
+    kept = met.withColumn("place", F.row_number().over(own)).where(F.col("place") > F.floor(F.col("spare") / 2)).select("base", "bucket", "set_id", "salted")
+    return kept
+
+
+def _pivoted(kept: DataFrame) -> DataFrame:
+    """kept with the first member of each bucket as pivot, without buckets that only one set is left in."""
+    ends = kept.groupBy("bucket").agg(F.min("set_id").alias("pivot"), F.max("set_id").alias("last"))
+    return kept.join(ends, "bucket").where("salted or pivot <> last").select("base", "set_id", "salted", "pivot")
+
+
+class Verifier:
+    """Which of given pairs link. Sketches come with the class list; whole sets are read again from the texts, once per set."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes, self.sets, self.tested = docs, classes, None, None
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        side = lambda x: self.classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = keep(pairs)
+        self.tested = pairs if self.tested is None else keep(self.tested.union(pairs))
+        near = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long"))
+        need = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
+        if self.sets is not None:
+            need = need.join(self.sets.select("set_id"), "set_id", "left_anti")
+        wanted = keep(need.join(self.classes.select("set_id", "first_id"), "set_id").select(F.col("first_id").alias("doc_id")))
+        if not wanted.isEmpty():
+            fresh = keep(self.docs.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(_sets, "set_id long, tokens array<long>").dropDuplicates(["set_id"]))
+            self.sets = fresh if self.sets is None else self.sets.union(fresh)
+        if self.sets is None:
+            return near
+        left, right = (self.sets.select(F.col("set_id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        shared = F.size(F.array_intersect("ta", "tb"))
+        return keep(near.join(left, "a").join(right, "b").where(DEN * shared >= NUM * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -204,42 +332,44 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
     WORDS words, of a shorter text the whole. Texts without words, and null, are empty and link with
-    nothing. Repeated rows are rows of their own; a null id never becomes a component's id unless all are.
+    nothing. Repeated rows are rows of their own. Rows with a null id follow the rows that have the same set;
+    a set whose rows all have a null id links with nothing and its component_id is null.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.count()
-    members = keep(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, set_id long"))
+    members = keep(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, set_id long, sketch binary"))
     costs = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, rows))
-    shared = keep(buckets(docs, costs))
+    shared = keep(_pivoted(keep(buckets(docs, costs))))
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
-    wanted = shared.select("set_id").distinct().join(classes, "set_id").select(F.col("first_id").alias("doc_id"))
-    sets = keep(docs.join(bounded(keep(wanted)), "doc_id", "left_semi").mapInArrow(_sets, "set_id long, tokens array<long>").dropDuplicates(["set_id"]))
+    # a representative's row carries the sketch; equal sets have equal sketches
+    met = shared.select("set_id").distinct().join(classes, "set_id")
+    drawn = members.select("set_id", F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["set_id", "first_id"])
+    verifier = Verifier(docs, keep(met.join(drawn, ["set_id", "first_id"])))
     # first round: everyone against the first member, and the first members of a key's salted buckets among each other
     heads = shared.where("salted").select("base", F.col("pivot").alias("head")).distinct()
     heads = heads.join(heads.groupBy("base").agg(F.min("head").alias("top")), "base")
-    star = _pairs(shared, "set_id", "pivot").union(_pairs(heads, "head", "top")).distinct()
-    links = keep(verified(star, sets))
+    links = verifier.links(_pairs(shared, "set_id", "pivot").union(_pairs(heads, "head", "top")).distinct())
     labels = connect(links)
-    # further rounds: only keys whose members lie in several components
-    live = shared.select("base", "set_id").distinct()
-    done = None
-    while True:
-        placed = live.join(labels, live["set_id"] == labels["node"], "left").select("base", "set_id", F.coalesce("label", "set_id").alias("label"))
-        spread = placed.groupBy("base").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        placed = placed.join(spread.select("base", "low"), "base")
-        odd = placed.where("label <> low").select("base", F.col("set_id").alias("pivot"), F.col("label").alias("its"))
-        if done is not None:
-            odd = odd.join(done, ["base", "pivot"], "left_anti")
-        odd = keep(odd.withColumn("place", F.row_number().over(Window.partitionBy("base").orderBy("pivot"))).where(F.col("place") <= PIVOTS).drop("place"))
-        if odd.isEmpty():
-            break
-        pairs = _pairs(placed.join(odd, "base").where("label <> its"), "set_id", "pivot")
-        done = keep(odd.select("base", "pivot").union(done) if done is not None else odd.select("base", "pivot"))
-        more = keep(verified(pairs, sets))
-        if not more.isEmpty():
-            links = keep(links.union(more).distinct())
-            labels = connect(links)
-        live = keep(placed.select("base", "set_id"))
+    # then the members that were no pivots, where they lie in several components
+    live = shared.where("salted or set_id <> pivot").select("base", "set_id").distinct()
+    placed = live.join(labels, live["set_id"] == labels["node"], "left").select("base", "set_id", F.coalesce("label", "set_id").alias("label"))
+    spread = placed.groupBy("base").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("members"),
+        F.bit_xor(F.xxhash64("set_id")).alias("m1"), F.bit_xor(F.xxhash64("set_id", F.lit(1))).alias("m2"), F.min("set_id").alias("m3"), F.max("set_id").alias("m4"),
+    ).where("low <> high")
+    # keys with the same members ask the same questions: one of them is enough
+    spread = spread.groupBy("members", "m1", "m2", "m3", "m4", "low").agg(F.min("base").alias("base"))
+    drawn = verifier.classes.select("set_id", "n", "sketch")
+    placed = keep(placed.join(spread.select("base", "low", "members"), "base"))
+    bases = placed.where(F.col("members") > LARGE).groupBy("set_id").agg(F.array_sort(F.collect_list("base")).alias("bases"))  # at most as many as a set sends keys
+    placed = keep(placed.join(drawn.join(bases, "set_id", "left"), "set_id"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("members") / BLOCK)))
+    member = F.struct("set_id", "label", "n", "sketch", "bases")
+    every = dealt.groupBy("base", "block").agg(F.collect_list(member).alias("every"))
+    odd = dealt.where("label <> low").groupBy("base", "block").agg(F.collect_list(member).alias("odd"))
+    more = verifier.links(every.drop("block").join(odd.drop("block"), "base").select("base", "odd", "every").mapInArrow(_across, "a long, b long").distinct())
+    if not more.isEmpty():
+        labels = connect(links.union(more))
     reached = classes.join(labels, classes["set_id"] == labels["node"], "left").select("set_id", "first_id", F.coalesce("label", "set_id").alias("label"))
     lowest = reached.groupBy("label").agg(F.min("first_id").alias("component_id"))
     by_set = reached.join(lowest, "label").select(F.col("set_id").alias("s"), "component_id")
