@@ -1,7 +1,7 @@
 """Near-duplicate lines across a corpus by a deletion-neighbourhood join over words.
 
 Edits are whole words: a line of MIN_WORDS words or more goes when an earlier line (by document id, then line
-number) equals it or is one inserted, deleted or replaced word away. A variant is what a line leaves when one
+number) equals it or is one inserted, deleted or replaced word away; shorter ones, where asked for, when one equals it. A variant is what a line leaves when one
 word is deleted, keyed by the hashes of the words before and after the gap. A replaced word is a gap of both
 lines at the same place; an inserted one is a gap of the longer line that meets a seam between words of the
 shorter. So all lines of one key are one edit apart, the earliest of each key decides, and no pairs are
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from quarryline.llm.common import bounded, keep, let
 
-#: Shorter lines are not compared; from here on one edit leaves 80 % of the words.
+#: Shorter lines have no near copies, for only from here on one edit leaves 80 % of the words.
 MIN_WORDS = 5
 
 
@@ -27,10 +27,10 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(F.when(blank, F.translate(F.lower(line), others, "    ")).otherwise(F.lower(line)), " "), "")
 
 
-def lines(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, words) of the lines long enough to be compared; rows without an id come last in the order."""
+def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc, line_no, words) of the lines of least words or more; rows without an id come last in the order."""
     rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= MIN_WORDS)
+    return rows.select("doc", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
 
 
 def _half(words: Column, m: Column, side: str) -> Column:
@@ -40,13 +40,13 @@ def _half(words: Column, m: Column, side: str) -> Column:
     return F.xxhash64(m, F.lit(side), part)
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc, line_no, fp, n, p, s, lp, ls): identity of each line and the hashes of its halves, as itself and as the longer of two."""
+def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(doc, line_no, fp, n, p, s, lp, ls): identity of each line and the hashes of its halves, as itself and as the longer of two; no halves under MIN_WORDS."""
     n = F.size("words")
     fp = F.substring(F.unhex(F.sha2(F.array_join("words", " "), 256)), 1, 16)
-    return lines(docs).select(
+    return lines(docs, least).select(
         "doc", "line_no", fp.alias("fp"), n.alias("n"),
-        *(_half(F.col("words"), n - longer, side).alias("l" * longer + side) for longer in (0, 1) for side in "ps"),
+        *(F.when(n >= MIN_WORDS, _half(F.col("words"), n - longer, side)).alias("l" * longer + side) for longer in (0, 1) for side in "ps"),
     )
 
 
@@ -94,16 +94,18 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).otherwise((F.size(long) == F.size(short) + 1) & inserted)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """(doc_id, line_no) of every line that goes. Lines are separated by line feeds and numbered from 0.
 
+    Lines under MIN_WORDS words go only if short is set, and then only as exact repeats.
+
     Null and empty texts have no lines to compare. Rows with the same id are one document: a line is earlier
     only by a smaller (id, line number). Ids that are null come after all others.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    occurrences = keep(fingerprints(docs))
+    occurrences = keep(fingerprints(docs, 1 if short else MIN_WORDS))
     distinct = keep(occurrences.groupBy("fp").agg(F.min(F.struct("doc", "line_no")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "s", "lp", "ls"))))
-    flags = keep(_meeting(distinct))
+    flags = keep(_meeting(distinct.where(F.col("n") >= MIN_WORDS)))
     senders = keep(flags.join(distinct.select("fp", "first", "n"), "fp"))
     home = docs.join(bounded(keep(senders.select(F.col("first.doc").alias("home")).distinct())), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("home"), "left_semi")
     texts = lines(home).select(F.struct("doc", "line_no").alias("first"), "words").dropDuplicates(["first"])
@@ -127,19 +129,19 @@ def _fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs with repeated lines taken out of their text; documents of which nothing but blanks is left after that go."""
     mine, went = _fresh("line_dedup_id", docs.columns), _fresh("line_dedup_gone", docs.columns)
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias(mine)).agg(F.collect_list("line_no").alias(went))
+    gone = repeated_lines(docs, id_col, text_col, short).groupBy(F.col("doc_id").alias(mine)).agg(F.collect_list("line_no").alias(went))
     met = docs.join(gone, docs[id_col].eqNullSafe(gone[mine]), "left")
     rest = let(F.split(text_col, "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went)), lambda i: F.get(x, i)))
     kept = met.withColumn(text_col, F.when(F.col(went).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text_col)))
     return kept.where(F.col(went).isNull() | F.col(text_col).rlike(r"[^\x20\t\r\n\f\x0B]")).select(*docs.columns)
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed: the numbers of the lines that go, comma-joined."""
-    gone = repeated_lines(docs, id_col, text_col).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
+    gone = repeated_lines(docs, id_col, text_col, short).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
     counted = docs.select(F.col(id_col).alias("doc_id"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("n_lines"))
     met = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
     return met.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))

@@ -58,3 +58,29 @@ def test_texts_reports_and_edges(spark):
     told = {r.doc_id: (r.n_lines, r.n_removed, r.removed) for r in line_dedup.report(docs).collect()}
     assert told[3] == (4, 1, "1") and told[2] == (1, 1, "0") and told[4] == (0, 0, "") and len(told) == 6
     assert line_dedup.report(docs.where("false")).count() == 0
+
+
+def test_exact_repeats_of_any_length(spark):
+    rows = corpus(3, 120) + [(1, "All rights\nreserved.\nAll  Rights\n\n \na b c d"), (2, "reserved.\na b c x\na b c d\nb c d"), (3, "\n\n"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    each = sorted((i, k, words(line)) for i, t in rows if t for k, line in enumerate(t.split("\n")))
+    equal = {(i, k) for n, (i, k, w) in enumerate(each) if w and any(v == w for _, _, v in each[:n])}
+    assert {(1, 2), (2, 0), (2, 2)} <= equal
+    assert {tuple(r) for r in line_dedup.repeated_lines(docs, short=True).collect()} == brute(rows) | equal
+    told = {r.doc_id: r.removed for r in line_dedup.report(docs, short=True).collect()}
+    assert told[1] == "2" and told[2] == "0,2" and told[3] == told[4] == ""
+
+
+def test_the_query_takes_short_repeats(spark):
+    from quarryline.llm import queries
+    from quarryline.tables import table
+
+    small, seen, want = "/root/testdata/sf0.001", set(), set()
+    for r in sorted(table(spark, small, "documents").collect(), key=lambda r: r.doc_id):
+        for k, line in enumerate((r.text or "").split("\n")):
+            w = tuple(words(line))
+            if 0 < len(w) < line_dedup.MIN_WORDS and w in seen:
+                want.add((r.doc_id, k))
+            seen.add(w)
+    got = {(r.doc_id, int(k)) for r in queries.op4_line_dedup(spark, small).collect() for k in r.removed.split(",") if k}
+    assert want and want <= got
