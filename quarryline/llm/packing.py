@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -55,6 +56,11 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _letters(text: str) -> bool:
+    """Whether a text is letters only and the tokenizer's NFC and lower case leave it so; some letters become a letter and a mark."""
+    return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
+
+
 class Words:
     """Ids of words as little-endian unsigned 32-bit numbers, each word encoded once while it is remembered.
 
@@ -81,7 +87,7 @@ class Words:
         """Words of letters go in one string, which costs half as much; their ids are told apart by the end marks."""
         letters, mixed = [], []
         for w in new:
-            (letters if w.decode().isalpha() else mixed).append(w)
+            (letters if _letters(w.decode()) else mixed).append(w)
         for at in range(0, len(letters), 10_000):
             part = letters[at : at + 10_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
@@ -103,7 +109,7 @@ class Words:
                 known[w] = got
                 continue
             core = w.rstrip(MARKS)
-            if len(core) < len(w) and b"<|" not in w and core.decode()[-1:].isalpha():
+            if len(core) < len(w) and b"<|" not in w and _letters(core.decode()[-1:]):
                 parts.append((w, core, tail := w[len(core) :]))
                 for part in (core, tail):
                     if part not in known:

@@ -73,3 +73,13 @@ def test_pieces_and_places(spark):
 
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, rank int")).count() == 0
+
+
+def test_letters_that_become_a_letter_and_a_mark():
+    tokenizers = pytest.importorskip("tokenizers")
+    path = packing.default_tokenizer()
+    t = tokenizers.Tokenizer.from_file(path)
+    whole = lambda text: np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = [chr(c) for c in range(128, 0x30000) if chr(c).isalpha()]
+    texts = ["CUMHUR\u0130YET\u0130.", "b\u0130 and \u0958!? \u09dc, x", *(f"a{x}. {x}) {x} word" for x in letters)]
+    assert packing.Words(path).ids(texts) == [whole(x) for x in texts]
