@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import bounded, keep, let
+from quarryline.llm.common import bounded, keep, let, row_key
 
 #: Fixed masks; together they hit every window of WINDOW words with up to SUBSTITUTED substitutions.
 MASKS = ((0, 1, 2, 5, 7, 8), (0, 1, 2, 4, 5, 6))
@@ -46,9 +46,9 @@ def seeds(words: Column) -> Column:
     return F.when(n >= LEAST, F.transform(F.sequence(F.lit(0), (n - LEAST + 1) * m - 1), at)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _seeded(rows: DataFrame, id_name: str, place: str) -> DataFrame:
-    hashed = rows.select(id_name, hashed_words(F.col("text")).alias("words"))
-    return hashed.select(id_name, F.posexplode(seeds(F.col("words"))).alias("k", "seed")).select(id_name, F.floor(F.col("k") / len(MASKS)).cast("int").alias(place), "seed")
+def _seeded(rows: DataFrame, names: list[str], place: str) -> DataFrame:
+    hashed = rows.select(*names, hashed_words(F.col("text")).alias("words"))
+    return hashed.select(*names, F.posexplode(seeds(F.col("words"))).alias("k", "seed")).select(*names, F.floor(F.col("k") / len(MASKS)).cast("int").alias(place), "seed")
 
 
 def _windows(same: Column) -> Column:
@@ -60,33 +60,41 @@ def _windows(same: Column) -> Column:
     return (n >= LEAST) & F.exists(F.sequence(F.lit(0), n - width), lambda i: total(i) >= width - allowed)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
-    """(doc_id, item_id, doc_start, length, matched): verified alignments of documents with items, by words.
-
-    length is the aligned length, matched how many of its words agree. Null and short texts overlap with
-    nothing. Rows with the same id are judged together.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(doc_id, row, item_id, doc_start, length, matched): as ``overlaps``, with the key of the document's row."""
+    docs = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col("text"))
-    theirs = keep(_seeded(items, "item_id", "item_place").distinct())
-    mine = _seeded(docs, "doc_id", "place")
-    hits = keep(mine.join(bounded(theirs), "seed").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
-    some = docs.join(bounded(keep(hits.select(F.col("doc_id").alias("hit")).distinct())), F.col("doc_id").eqNullSafe(F.col("hit")), "left_semi")
-    sides = hits.withColumnRenamed("doc_id", "hit").join(some.select("doc_id", hashed_words(F.col("text")).alias("words")), F.col("hit").eqNullSafe(F.col("doc_id")))
+    theirs = keep(_seeded(items, ["item_id"], "item_place").distinct())
+    mine = _seeded(docs, ["doc_id", "row"], "place")
+    hits = keep(mine.join(bounded(theirs), "seed").select("doc_id", "row", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal")).distinct())
+    hits = hits.withColumnsRenamed({"doc_id": "hit", "row": "hit_row"})
+    same_row = F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("row") == F.col("hit_row"))
+    some = docs.join(bounded(keep(hits.select("hit", "hit_row").distinct())), same_row, "left_semi")
+    sides = hits.join(some.select("doc_id", "row", hashed_words(F.col("text")).alias("words")), same_row)
     item_words = keep(items.select(F.col("item_id").alias("item"), hashed_words(F.col("text")).alias("item_words")))
     met = sides.join(bounded(item_words), F.col("item_id").eqNullSafe(F.col("item")))
     lead = F.greatest(F.lit(0), -F.col("diagonal"))
     length = F.least(F.size("item_words") - lead, F.size("words") - (F.col("diagonal") + lead))
-    met = met.select("doc_id", "item_id", (F.col("diagonal") + lead).alias("doc_start"), length.alias("length"), "words", "item_words", lead.alias("lead")).where("length > 0")
+    met = met.select("doc_id", "row", "item_id", (F.col("diagonal") + lead).alias("doc_start"), length.alias("length"), "words", "item_words", lead.alias("lead")).where("length > 0")
     same = F.zip_with(F.slice("words", F.col("doc_start") + 1, F.col("length")), F.slice("item_words", F.col("lead") + 1, F.col("length")), lambda a, b: F.when(a == b, 1).otherwise(0))
-    judged = met.select("doc_id", "item_id", "doc_start", "length", let(same, lambda s: F.struct(_windows(s).alias("ok"), F.aggregate(s, F.lit(0), lambda a, b: a + b).alias("matched"))).alias("j"))
-    return judged.where("j.ok").select("doc_id", "item_id", "doc_start", "length", F.col("j.matched").alias("matched")).distinct()
+    judged = met.select("doc_id", "row", "item_id", "doc_start", "length", let(same, lambda s: F.struct(_windows(s).alias("ok"), F.aggregate(s, F.lit(0), lambda a, b: a + b).alias("matched"))).alias("j"))
+    return judged.where("j.ok").select("doc_id", "row", "item_id", "doc_start", "length", F.col("j.matched").alias("matched")).distinct()
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
+    """(doc_id, item_id, doc_start, length, matched): verified alignments of documents with items, by words.
+
+    length is the aligned length, matched how many of its words agree. Null and short texts overlap with
+    nothing. Rows with the same id are judged each on its own.
+    """
+    return _overlaps(docs, benchmark, id_col, text_col, item_col).drop("row").distinct()
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """One row per input row: doc_id, contaminated, n_items, items (item ids, comma-joined, rising), matched (most words)."""
-    found = overlaps(docs, benchmark, id_col, text_col, item_col).groupBy(F.col("doc_id").alias("hit")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("matched").alias("most"))
-    met = docs.select(F.col(id_col).alias("doc_id")).join(found, F.col("doc_id").eqNullSafe(F.col("hit")), "left")
+    found = _overlaps(docs, benchmark, id_col, text_col, item_col).groupBy(F.col("doc_id").alias("hit"), F.col("row").alias("hit_row")).agg(F.array_sort(F.collect_set("item_id")).alias("items"), F.max("matched").alias("most"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"))
+    met = rows.join(found, F.col("doc_id").eqNullSafe(F.col("hit")) & (F.col("row") == F.col("hit_row")), "left")
     return met.select(
         "doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ","), F.lit("")).alias("items"), F.coalesce("most", F.lit(0)).cast("long").alias("matched"),
@@ -96,7 +104,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs that overlap with no benchmark item."""
     hit = "decontamination_hit"
-    while hit in docs.columns:
+    while hit in docs.columns or f"{hit}_row" in docs.columns:
         hit += "_"
-    bad = keep(overlaps(docs, benchmark, id_col, text_col, item_col).select(F.col("doc_id").alias(hit)).distinct())
-    return docs.join(bounded(bad), docs[id_col].eqNullSafe(bad[hit]), "left_anti")
+    bad = keep(_overlaps(docs, benchmark, id_col, text_col, item_col).select(F.col("doc_id").alias(hit), F.col("row").alias(f"{hit}_row")).distinct())
+    return docs.join(bounded(bad), docs[id_col].eqNullSafe(bad[hit]) & (row_key(docs[text_col]) == bad[f"{hit}_row"]), "left_anti")

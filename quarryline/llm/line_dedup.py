@@ -14,8 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import bounded, keep, let
+from quarryline.llm.common import bounded, keep, let, row_key
 
+#: Stands for a null id, so that rows without one come last in the order.
+NO_ID = (1 << 63) - 1
 #: Shorter lines have no near copies, for only from here on one edit leaves 80 % of the words.
 MIN_WORDS = 5
 
@@ -28,9 +30,9 @@ def words_of(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc, line_no, words) of the lines of least words or more; rows without an id come last in the order."""
-    rows = docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
+    """(doc, row, line_no, words) of the lines of least words or more."""
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return rows.select("doc", "row", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
 
 
 def _half(words: Column, m: Column, side: str) -> Column:
@@ -41,11 +43,11 @@ def _half(words: Column, m: Column, side: str) -> Column:
 
 
 def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(doc, line_no, fp, n, p, s, lp, ls): identity of each line and the hashes of its halves, as itself and as the longer of two; no halves under MIN_WORDS."""
+    """(doc, row, line_no, fp, n, p, s, lp, ls): identity of each line and the hashes of its halves, as itself and as the longer of two; no halves under MIN_WORDS."""
     n = F.size("words")
     fp = F.substring(F.unhex(F.sha2(F.array_join("words", " "), 256)), 1, 16)
     return lines(docs, least).select(
-        "doc", "line_no", fp.alias("fp"), n.alias("n"),
+        "doc", "row", "line_no", fp.alias("fp"), n.alias("n"),
         *(F.when(n >= MIN_WORDS, _half(F.col("words"), n - longer, side)).alias("l" * longer + side) for longer in (0, 1) for side in "ps"),
     )
 
@@ -94,33 +96,49 @@ def one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), replaced).otherwise((F.size(long) == F.size(short) + 1) & inserted)
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """(doc_id, line_no) of every line that goes. Lines are separated by line feeds and numbered from 0.
+def _place(line: str) -> Column:
+    """What a line comes earlier by; its row is no part of that."""
+    return F.struct(F.col(f"{line}.doc"), F.col(f"{line}.line_no"))
 
-    Lines under MIN_WORDS words go only if short is set, and then only as exact repeats.
 
-    Null and empty texts have no lines to compare. Rows with the same id are one document: a line is earlier
-    only by a smaller (id, line number). Ids that are null come after all others.
-    """
-    docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _gone(docs: DataFrame, short: bool) -> DataFrame:
+    """(doc, row, line_no) of every line that goes; docs has doc_id and text."""
     occurrences = keep(fingerprints(docs, 1 if short else MIN_WORDS))
-    distinct = keep(occurrences.groupBy("fp").agg(F.min(F.struct("doc", "line_no")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "s", "lp", "ls"))))
+    distinct = keep(occurrences.groupBy("fp").agg(F.min(F.struct("doc", "line_no", "row")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "s", "lp", "ls"))))
     flags = keep(_meeting(distinct.where(F.col("n") >= MIN_WORDS)))
     senders = keep(flags.join(distinct.select("fp", "first", "n"), "fp"))
-    home = docs.join(bounded(keep(senders.select(F.col("first.doc").alias("home")).distinct())), F.coalesce("doc_id", F.lit((1 << 63) - 1)) == F.col("home"), "left_semi")
-    texts = lines(home).select(F.struct("doc", "line_no").alias("first"), "words").dropDuplicates(["first"])
+    home = docs.join(bounded(keep(senders.select(F.col("first.doc").alias("home")).distinct())), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("home"), "left_semi")
+    texts = lines(home).select(F.struct("doc", "line_no", "row").alias("first"), "words").dropDuplicates(["first"])
     sending = keep(senders.join(texts, "first"))
     sent = sending.select("fp", "first", F.explode(variants()).alias("key"))
-    lead = sent.groupBy("key").agg(F.min("first").alias("lead"), F.max("first").alias("tail")).where("lead < tail").select("key", "lead")
-    found = sent.join(lead, "key").where("lead < first").select("fp", "lead").distinct()
+    lead = sent.groupBy("key").agg(F.min("first").alias("lead"), F.max("first").alias("tail")).where(_place("lead") < _place("tail")).select("key", "lead")
+    found = sent.join(lead, "key").where(_place("lead") < _place("first")).select("fp", "lead").distinct()
     of = lambda x: sending.select(F.col("first").alias(f"{x}_first"), F.col("fp").alias(f"{x}_fp"), F.col("words").alias(f"{x}_words"))
     near = (
         found.join(of("a"), F.col("fp") == F.col("a_fp")).join(of("b"), F.col("lead") == F.col("b_first"))
         .where(one_edit(F.col("a_words"), F.col("b_words"))).select("fp").distinct().withColumn("near", F.lit(True))
     )
     decided = distinct.select("fp", "first").join(keep(near), "fp", "left")
-    gone = occurrences.select("doc", "line_no", "fp").join(decided, "fp").where(F.col("near") | (F.struct("doc", "line_no") > F.col("first")))
-    return gone.select(F.when(F.col("doc") != (1 << 63) - 1, F.col("doc")).alias("doc_id"), "line_no").distinct()
+    gone = occurrences.select("doc", "row", "line_no", "fp").join(decided, "fp").where(F.col("near") | (F.struct("doc", "line_no") > _place("first")))
+    return gone.select("doc", "row", "line_no").distinct()
+
+
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
+    """(doc_id, line_no) of every line that goes. Lines are separated by line feeds and numbered from 0.
+
+    Lines under MIN_WORDS words go only if short is set, and then only as exact repeats.
+
+    Null and empty texts have no lines to compare. A line is earlier only by a smaller (id, line number); ids
+    that are null come after all others. Rows with the same id, or none, keep and lose lines each on its own.
+    """
+    gone = _gone(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), short)
+    return gone.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "line_no").distinct()
+
+
+def _gone_by_row(docs: DataFrame, id_col: str, text_col: str, short: bool, went: str) -> DataFrame:
+    """The rows of docs that lines go from, as (went_doc, went_row), with the numbers of those lines as went."""
+    gone = _gone(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), short)
+    return gone.groupBy(F.col("doc").alias(f"{went}_doc"), F.col("row").alias(f"{went}_row")).agg(F.array_sort(F.collect_list("line_no")).alias(went))
 
 
 def _fresh(name: str, taken: list[str]) -> str:
@@ -131,9 +149,9 @@ def _fresh(name: str, taken: list[str]) -> str:
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """The rows of docs with repeated lines taken out of their text; documents of which nothing but blanks is left after that go."""
-    mine, went = _fresh("line_dedup_id", docs.columns), _fresh("line_dedup_gone", docs.columns)
-    gone = repeated_lines(docs, id_col, text_col, short).groupBy(F.col("doc_id").alias(mine)).agg(F.collect_list("line_no").alias(went))
-    met = docs.join(gone, docs[id_col].eqNullSafe(gone[mine]), "left")
+    went = _fresh("line_dedup_gone", docs.columns)
+    gone = _gone_by_row(docs, id_col, text_col, short, went)
+    met = docs.join(gone, (F.coalesce(docs[id_col], F.lit(NO_ID)) == gone[f"{went}_doc"]) & (row_key(docs[text_col]) == gone[f"{went}_row"]), "left")
     rest = let(F.split(text_col, "\n", -1), lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went)), lambda i: F.get(x, i)))
     kept = met.withColumn(text_col, F.when(F.col(went).isNotNull(), F.array_join(rest, "\n")).otherwise(F.col(text_col)))
     return kept.where(F.col(went).isNull() | F.col(text_col).rlike(r"[^\x20\t\r\n\f\x0B]")).select(*docs.columns)
@@ -141,7 +159,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_lines, n_removed, removed: the numbers of the lines that go, comma-joined."""
-    gone = repeated_lines(docs, id_col, text_col, short).groupBy(F.col("doc_id").alias("gone_id")).agg(F.array_sort(F.collect_list("line_no")).alias("gone"))
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("n_lines"))
-    met = counted.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left")
+    gone = _gone_by_row(docs, id_col, text_col, short, "gone")
+    counted = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("n_lines"))
+    met = counted.join(gone, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("gone_doc")) & (F.col("row") == F.col("gone_row")), "left")
     return met.select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed"))

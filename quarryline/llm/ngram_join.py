@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarryline.llm import hashing as H
-from quarryline.llm.common import bounded, keep
+from quarryline.llm.common import bounded, keep, row_key
 from quarryline.llm.components import connect
 
 #: Link when NUM * union <= DEN * intersection.
@@ -225,8 +225,9 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for done, run in _runs(batch):
             owner, token = H.shingle_sets(run)
             sizes, ids = H.set_ids(owner, token, len(run))
-            columns = [batch.column("doc_id").slice(done, len(run)), pa.array(sizes.astype(np.int64)), pa.array(ids), pa.array(sketches(owner, token, sizes), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_id", "sketch"])
+            names = [c for c in ("doc_id", "row") if c in batch.schema.names]
+            columns = [*(batch.column(c).slice(done, len(run)) for c in names), pa.array(sizes.astype(np.int64)), pa.array(ids), pa.array(sketches(owner, token, sizes), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "n_shingles", "set_id", "sketch"])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,17 +328,20 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
-def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, the smallest id reachable by links, itself included.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set holds the distinct shingles of
     WORDS words, of a shorter text the whole. Texts without words, and null, are empty and link with
     nothing. Repeated rows are rows of their own. Rows with a null id follow the rows that have the same set;
-    a set whose rows all have a null id links with nothing and its component_id is null.
+    a set whose rows all have a null id links with nothing and its component_id is null. With row, the
+    row's key is a further column.
     """
+    keys = {"row": row_key(F.col(text_col))} if row else {}
+    keyed = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keys.items()), F.col(text_col).alias("text"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.count()
-    members = keep(docs.mapInArrow(_sizes, "doc_id long, n_shingles long, set_id long, sketch binary"))
+    members = keep(keyed.mapInArrow(_sizes, "doc_id long, " + "row long, " * row + "n_shingles long, set_id long, sketch binary"))
     costs = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, rows))
     shared = keep(_pivoted(keep(buckets(docs, costs))))
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
@@ -375,5 +379,5 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     by_set = reached.join(lowest, "label").select(F.col("set_id").alias("s"), "component_id")
     # the hot side keeps its rows: every row of a class reads the class's one line
     return members.join(by_set, members["set_id"] == by_set["s"], "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", *keys, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -138,16 +138,17 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """doc_id, score and predicted of every whole text; null counts as empty."""
+    """doc_id, score and predicted of every whole text, and row where docs has it; null counts as empty."""
+    ids = [c for c in ("doc_id", "row") if c in docs.columns]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [shared.value.score(run_) for run_ in H.slices([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*ids, "score"])
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
-    return found.select("doc_id", "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    found = docs.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", score double")
+    return found.select(*ids, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -48,3 +48,29 @@ def test_extra_columns_nulls_and_repeats(spark):
         docs = corpus_pipeline.keep(stage(spark, docs, SMALL))
         assert docs.columns == ["doc_id", "text", "toxic_id", "copy_id"]
     assert docs.count() == 5 and corpus_pipeline.pack(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_rows_without_or_with_the_same_id_are_judged_on_their_own(spark):
+    import pyspark.sql.functions as F
+
+    real = table(spark, SMALL, "documents").select("doc_id", "text")
+    judged = toxicity.judge(real, table(spark, SMALL, "labels"))
+    toxic, clean = (real.join(judged.where(f"predicted = {p}"), "doc_id").orderBy("doc_id").first().text for p in (1, 0))
+    for i in (None, 10**9):
+        extra = spark.createDataFrame([(i, toxic), (i, clean)], "doc_id long, text string")
+        left = corpus_pipeline.drop_toxic(spark, real.union(extra), SMALL).where(F.col("doc_id").eqNullSafe(i)).collect()
+        assert [r.text for r in left] == [clean]
+        item = table(spark, SMALL, "benchmark").orderBy(F.length("text").desc()).first().text
+        docs = spark.createDataFrame([(i, f"so it says {item} there"), (i, "all clean here with nothing to find in it at all"), (5, item[:20])], "doc_id long, text string")
+        left = corpus_pipeline.drop_contaminated(spark, docs, SMALL).where(F.col("doc_id").eqNullSafe(i)).collect()
+        assert [r.text for r in left] == ["all clean here with nothing to find in it at all"]
+        # line 1 of one row repeats an earlier document, line 1 of the others does not
+        rows = [(1, "the first line of all is here"), (i, "my very own line of words\nthe first line of all is here"), (i, "another line that nobody else has\nunique words are what this line holds"), (i, "\nunique words are what this line keeps")]
+        left = {r.text for r in corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).where(F.col("doc_id").eqNullSafe(i)).collect()}
+        assert left == {"my very own line of words", rows[2][1], rows[3][1]}
+        told = sorted(r.removed for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert told == ["", "", "", "1"]
+    # of one id, the row that copies an earlier document goes, the other stays
+    rows = [(1, "a b c d e f g h i j"), (7, "a b c d e f g h i j"), (7, "quite other words that are nowhere else in here")]
+    left = corpus_pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), SMALL).collect()
+    assert sorted(tuple(r) for r in left) == [rows[0], rows[2]]
