@@ -12,11 +12,13 @@ _STEP = 0x9E3779B97F4A7C15
 #: Odd and 3 modulo 4, so that swapped letters never cancel.
 _BASE = 0xD1342543DE82EF95 | 3
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+_MASK = (1 << 64) - 1
 _TABLE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 _PLACE = np.random.default_rng(21).integers(0, 1 << 64, 64, dtype=np.uint64) | U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes that are summed up together; powers of the base reach no further.
+_REACH = 1 << 16
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -27,21 +29,33 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _power_tables(n: int):
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, b in enumerate((_BASE, _BASE_INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers
+def _powers(base: int) -> np.ndarray:
+    p = np.full(_REACH, base, np.uint64)
+    p[0] = 1
+    return np.multiply.accumulate(p)
 
 
-def slices(texts: list):
-    """Runs of texts of about SLICE bytes; a longer text stands alone."""
+_UP, _DOWN = _powers(_BASE), _powers(_BASE_INVERSE)
+
+
+def _sums_at(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The polynomial sum of the bytes before each of the rising edges, one block of bytes after the other."""
+    out = np.zeros(len(edges), np.uint64)
+    total, scale, step, done = 0, 1, pow(_BASE, _REACH, 1 << 64), 0
+    for lo in range(0, len(data), _REACH):
+        block = np.cumsum(_TABLE[data[lo : lo + _REACH]] * _UP[: len(data) - lo])
+        upto = int(np.searchsorted(edges, lo + len(block), side="right"))
+        here = edges[done:upto] - lo
+        out[done:upto] = U(total) + U(scale) * np.where(here > 0, block[here - 1], U(0))
+        done, total, scale = upto, (total + scale * int(block[-1])) & _MASK, (scale * step) & _MASK
+    return out
+
+
+def slices(texts: list, most: int = SLICE):
+    """Runs of texts of about ``most`` bytes; a longer text stands alone."""
     run, size = [], 0
     for t in texts:
-        if run and size + len(t) > SLICE:
+        if run and size + len(t) > most:
             yield run
             run, size = [], 0
         run.append(t)
@@ -61,11 +75,9 @@ def words(texts: list[bytes], separates: np.ndarray = _SPACE):
     space = separates[data]
     edge = np.diff(np.concatenate([[True], space]).astype(np.int8))
     starts, ends = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
-    up, down = _power_tables(len(data) + 1)
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_TABLE[data] * up[: len(data)], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts])
+    # a power of the inverse takes a word's place out of its sum, in two factors
+    far = np.array([pow(_BASE_INVERSE, _REACH * i, 1 << 64) for i in range(len(data) // _REACH + 1)], np.uint64)
+    hashes = mix((_sums_at(data, ends) - _sums_at(data, starts)) * _DOWN[starts % _REACH] * far[starts // _REACH])
     limits = np.cumsum([len(t) + 1 for t in texts])
     return hashes, np.searchsorted(limits, starts, side="right").astype(np.int64), starts, ends
 

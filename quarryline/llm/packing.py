@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.llm.bpe import Merges
 from quarryline.llm.common import keep, shuffle_partitions
+from quarryline.llm.workers import released, runs
 
 CAPACITY, END_ID = 4096, 1
 #: Lengths above capacity / LARGE are grouped, into GROUPS groups.
 LARGE, GROUPS = 8, 64
 #: Pivots of the linear programme at most; stopping early only costs quality.
 PIVOTS = 800
-#: Words whose ids a worker remembers twice over: the newest so many, and the generation before.
-REMEMBERED = 420_000
+#: Words whose ids a task remembers twice over: the newest so many, and the generation before.
+REMEMBERED = 120_000
+#: Bytes of text that are taken apart together; bounds the memory of a worker, not what is read.
+SLICE = 1_000_000
 #: A run of these at a word's end, after a letter, is a token sequence of its own for this tokenizer.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 
@@ -61,45 +66,66 @@ def _letters(text: str) -> bool:
     return text.isalpha() and (text.isascii() or unicodedata.normalize("NFC", text).lower().isalpha())
 
 
+def _folded(word: bytes) -> bytes | None:
+    """The normalised form of a word of letters below U+0250, whose lower case is the same everywhere; None for other words."""
+    text = word.decode()
+    if not text.isalpha():
+        return None
+    if text.isascii():
+        return word.lower()
+    text = unicodedata.normalize("NFC", text).lower()
+    return text.encode() if max(text) < "\u0250" and text.isalpha() else None
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A text in parts of about SLICE characters that end with ASCII white space."""
+    at = 0
+    while at < len(text):
+        cut = _BLANK.search(text, at + SLICE)
+        end = cut.end() if cut else len(text)
+        yield text[at:end]
+        at = end
+
+
+_BLANK = re.compile(r"[\x20\t\n\r\f\v]")
+
+
 class Words:
     """Ids of words as little-endian unsigned 32-bit numbers, each word encoded once while it is remembered.
 
     ASCII white space ends words for this tokenizer and A-Z count as lower case, so the ids of a text are
     those of its words. Texts that may hold special tokens are not lower-cased, for that could make some.
+    Words of letters, each one run of merges for this tokenizer, are merged many at a time; others go through
+    the tokenizer itself.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known, self.before = _Known(), _Known()
-        # the last token of a run of letters, and no other, carries the mark of a word's end
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Merges(path)
+        self.forget()
 
-    def _encode_each(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
+    def forget(self) -> None:
+        self.known, self.before = _Known(), _Known()
 
     def _encode(self, new: list[bytes]) -> None:
-        """Words of letters go in one string, which costs half as much; their ids are told apart by the end marks."""
-        letters, mixed = [], []
+        letters, folded, mixed = [], [], []
         for w in new:
-            (letters if _letters(w.decode()) else mixed).append(w)
-        for at in range(0, len(letters), 10_000):
-            part = letters[at : at + 10_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.nonzero(self.ends[ids])[0] + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self._encode_each(part)
-                continue
-            data, lo = ids.tobytes(), 0
-            for w, hi in zip(part, (4 * cuts).tolist(), strict=True):
+            plain = _folded(w)
+            if plain is None:
+                mixed.append(w)
+            else:
+                letters.append(w)
+                folded.append(plain)
+        if letters:
+            ids, sizes = self.merges.encode(folded)
+            data, lo = ids.astype("<u4").tobytes(), 0
+            for w, hi in zip(letters, (4 * np.cumsum(sizes)).tolist(), strict=True):
                 self.known[w] = data[lo:hi]
                 lo = hi
-        self._encode_each(mixed)
+        for w, e in zip(mixed, self.tokenizer.encode_batch_fast([w.decode() for w in mixed], add_special_tokens=False), strict=True):
+            self.known[w] = np.array(e.ids, "<u4").tobytes()
 
     def _learn(self, new: set[bytes]) -> None:
         known, before = self.known, self.before
@@ -124,6 +150,12 @@ class Words:
             known[w] = known[core] + known[tail]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids; a long text goes in parts, for white space ends words."""
+        if max(map(len, texts), default=0) <= SLICE:
+            return self._ids(texts)
+        return [b"".join(self._ids([part])[0] for part in _parts(t)) for t in texts]
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.before = _Known(), self.known
         known = self.known
@@ -146,25 +178,31 @@ def token_bytes(texts: list[str], path: str) -> list[bytes]:
 def _pieces(path: str, capacity: int):
     end = np.array([END_ID], "<u4").tobytes()
 
+    def cut(docs: list, texts: list[str]) -> pa.RecordBatch:
+        out: list[list] = [[], [], [], [], []]
+        for doc, tokens in zip(docs, token_bytes(texts, path), strict=True):
+            tokens += end
+            for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
+                ids = tokens[at : at + 4 * capacity]
+                for column, value in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids)), strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 128):
-                part = batch.slice(lo, 128)
-                out: list[list] = [[], [], [], [], []]
-                for doc, tokens in zip(part.column("doc_id").to_pylist(), token_bytes([t or "" for t in part.column("text").to_pylist()], path), strict=True):
-                    tokens += end
-                    for piece, at in enumerate(range(0, len(tokens), 4 * capacity)):
-                        ids = tokens[at : at + 4 * capacity]
-                        for column, value in zip(out, (doc, piece, at // 4, len(ids) // 4, zlib.crc32(ids)), strict=True):
-                            column.append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        try:
+            for batch in batches:
+                for at, texts in runs(batch.column("text"), SLICE):
+                    yield cut(batch.column("doc_id").slice(at, len(texts)).to_pylist(), texts)
+        finally:  # the worker serves other tasks next
+            if path in _tokenizers:
+                _tokenizers[path].forget()
 
     return run
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): documents longer than capacity are cut, others are whole."""
-    return docs.select("doc_id", "text").mapInArrow(_pieces(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(released(_pieces(path, capacity)), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -267,7 +305,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROU
     taken[capacity] = histogram.get(capacity, 0)
     large = sorted((x for x in histogram if capacity // LARGE < x < capacity), reverse=True)
     total = sum(histogram[x] for x in large)
-    if total > groups:
+    if total:
         # linear grouping: runs (length, number) of each group, largest first; a group's size is its largest length
         members: list[list[list[int]]] = []
         share, room = -(-total // groups), 0
@@ -330,18 +368,18 @@ def ranked(cut: DataFrame) -> DataFrame:
     counts = dealt.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = F.row_number().over(Window.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_first(), "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "part").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "start", "ids_crc32"))
     return dealt.withColumn("place", within).join(firsts, ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("place") - 1).alias("rank"))
 
 
 def _placed(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, runs = shared.value
+        keys, planned = shared.value
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, (length << 48) | rank, side="right") - 1
-            sequence = runs[at, 3] + rank - runs[at, 1]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(runs[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            sequence = planned[at, 3] + rank - planned[at, 1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(planned[at, 4])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
     return run
 
@@ -349,8 +387,9 @@ def _placed(shared):
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty: a piece of the end id alone. Repeated rows are packed each. An empty table
-    gives an empty result.
+    Null text counts as empty: a piece of the end id alone. Repeated rows are packed each, ids may be null. An
+    empty table gives an empty result; other columns, whatever their names, are not looked at. Long texts are
+    encoded in parts that end at white space and cut into pieces of capacity ids.
     """
     cut = keep(pieces(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), path or default_tokenizer(), capacity))
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}

@@ -83,3 +83,18 @@ def test_letters_that_become_a_letter_and_a_mark():
     letters = [chr(c) for c in range(128, 0x30000) if chr(c).isalpha()]
     texts = ["CUMHUR\u0130YET\u0130.", "b\u0130 and \u0958!? \u09dc, x", *(f"a{x}. {x}) {x} word" for x in letters)]
     assert packing.Words(path).ids(texts) == [whole(x) for x in texts]
+
+
+def test_ids_of_random_texts_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    path, rng = packing.default_tokenizer(), random.Random(5)
+    letters = [chr(c) for c in range(0x20, 0x2FFF) if chr(c).isalpha()] + [chr(c) for c in (0x130, 0x1E9E, 0x3A3, 0x149, 0x1C5, 0x345)] * 50
+    usual = "abcdeÉÈüñßİAZ'.!,0 9Σσé̇Ａ"
+    texts = ["".join(rng.choice(letters) if rng.random() < 0.3 else rng.choice(usual) for _ in range(rng.randint(1, 12))) for _ in range(20000)]
+    texts += ["word " * 300_000 + "İ. end", "a\tbc " * 250_000 + "d" * 1_100_000 + " e"]
+    texts += ["a" * n for n in range(1, 40)] + ["zz" * 3000, "ab" * 2000 + ".", "<|endoftext|> A", "X<|endoftext|>"]
+    words = packing.Words(path)
+    got = [b for i in range(0, len(texts), 500) for b in words.ids(texts[i : i + 500])]
+    plain = Tokenizer.from_file(path).encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in plain]
