@@ -14,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import bounded, keep, let, row_key
+from quarryline.llm.common import bounded, keep, let, row_key, shuffle_partitions
 
 #: Stands for a null id, so that rows without one come last in the order.
 NO_ID = (1 << 63) - 1
+#: A line is hot when its places exceed this fraction (1 / SPLITS) of an even shuffle partition.
+SPLITS = 4
 #: Shorter lines have no near copies, for only from here on one edit leaves 80 % of the words.
 MIN_WORDS = 5
 
@@ -31,8 +33,10 @@ def words_of(line: Column) -> Column:
 
 def lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc, row, line_no, words) of the lines of least words or more."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return rows.select("doc", "row", "line_no", words_of(F.col("line")).alias("words")).where(F.size("words") >= least)
+    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), row_key(F.col("text")).alias("row"), "text")
+    rows = rows.select("doc", "row", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # a generator of one row: its output is taken apart once, where a filter over an expression would evaluate it twice
+    return rows.select("doc", "row", "line_no", F.explode(F.array(words_of(F.col("line")))).alias("words")).where(F.size("words") >= least)
 
 
 def _half(words: Column, m: Column, side: str) -> Column:
@@ -45,7 +49,7 @@ def _half(words: Column, m: Column, side: str) -> Column:
 def fingerprints(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(doc, row, line_no, fp, n, p, s, lp, ls): identity of each line and the hashes of its halves, as itself and as the longer of two; no halves under MIN_WORDS."""
     n = F.size("words")
-    fp = F.substring(F.unhex(F.sha2(F.array_join("words", " "), 256)), 1, 16)
+    fp = F.unhex(F.md5(F.array_join("words", " ")))
     return lines(docs, least).select(
         "doc", "row", "line_no", fp.alias("fp"), n.alias("n"),
         *(F.when(n >= MIN_WORDS, _half(F.col("words"), n - longer, side)).alias("l" * longer + side) for longer in (0, 1) for side in "ps"),
@@ -104,7 +108,7 @@ def _place(line: str) -> Column:
 def _gone(docs: DataFrame, short: bool) -> DataFrame:
     """(doc, row, line_no) of every line that goes; docs has doc_id and text."""
     occurrences = keep(fingerprints(docs, 1 if short else MIN_WORDS))
-    distinct = keep(occurrences.groupBy("fp").agg(F.min(F.struct("doc", "line_no", "row")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "s", "lp", "ls"))))
+    distinct = keep(occurrences.groupBy("fp").agg(F.count(F.lit(1)).alias("seen"), F.min(F.struct("doc", "line_no", "row")).alias("first"), *(F.min(c).alias(c) for c in ("n", "p", "s", "lp", "ls"))))
     flags = keep(_meeting(distinct.where(F.col("n") >= MIN_WORDS)))
     senders = keep(flags.join(distinct.select("fp", "first", "n"), "fp"))
     home = docs.join(bounded(keep(senders.select(F.col("first.doc").alias("home")).distinct())), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("home"), "left_semi")
@@ -118,9 +122,13 @@ def _gone(docs: DataFrame, short: bool) -> DataFrame:
         found.join(of("a"), F.col("fp") == F.col("a_fp")).join(of("b"), F.col("lead") == F.col("b_first"))
         .where(one_edit(F.col("a_words"), F.col("b_words"))).select("fp").distinct().withColumn("near", F.lit(True))
     )
-    decided = distinct.select("fp", "first").join(keep(near), "fp", "left")
-    gone = occurrences.select("doc", "row", "line_no", "fp").join(decided, "fp").where(F.col("near") | (F.struct("doc", "line_no") > _place("first")))
-    return gone.select("doc", "row", "line_no").distinct()
+    decided = keep(distinct.select("fp", "first", "seen").join(keep(near), "fp", "left").where("near or seen > 1"))
+    # a line so frequent that its places would crowd one task: at most SPLITS * parts are, so these can be broadcast
+    parts = shuffle_partitions(docs.sparkSession)
+    hot = F.broadcast(decided.where(F.col("seen") > max(1, occurrences.count() // (SPLITS * parts))))
+    places = occurrences.select("doc", "row", "line_no", "fp")
+    met = places.join(hot, "fp").unionByName(places.join(hot.select("fp"), "fp", "left_anti").join(decided, "fp"))
+    return met.where(F.col("near") | (F.struct("doc", "line_no") > _place("first"))).select("doc", "row", "line_no").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
@@ -158,7 +166,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short: bool = False) -> DataFrame:
-    """One row per input row: doc_id, n_lines, n_removed, removed: the numbers of the lines that go, comma-joined."""
+    """One row per input row: doc_id, n_lines, n_removed, removed: the numbers of the lines that go, comma-joined.
+
+    Null and empty texts have no lines; rows with the same id, or none, and texts of any length are treated as in
+    ``repeated_lines``. An empty table gives an empty result; other columns, whatever their names, are not looked at.
+    """
     gone = _gone_by_row(docs, id_col, text_col, short, "gone")
     counted = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("row"), F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(F.split(text_col, "\n", -1))).cast("long").alias("n_lines"))
     met = counted.join(gone, (F.coalesce("doc_id", F.lit(NO_ID)) == F.col("gone_doc")) & (F.col("row") == F.col("gone_row")), "left")
