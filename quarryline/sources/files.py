@@ -158,3 +158,15 @@ def state_pairs(spark: SparkSession, path: str, magic: str) -> DataFrame:
     rows = lines.select(F.explode(F.slice("lines", F.lit(2), F.size("lines"))).alias("line")).where(F.col("line").contains("="))
     plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
     return rows.select(plain(F.substring_index("line", "=", 1)).alias("key"), plain(F.regexp_replace("line", "^[^=]*=", "")).alias("value"))
+
+
+def state_guarded(spark: SparkSession, path: str, magic: str, version: int, namespace: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, errors) of state files whose first lines name the magic, version and namespace; others are error rows."""
+    text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.split("value", "\n").alias("lines"))
+    head = [magic, f"version={version}", f"namespace={namespace}"]
+    wrong = F.when(F.get("lines", F.lit(0)) != head[0], "magic").when(~F.get("lines", F.lit(1)).eqNullSafe(head[1]), "version").when(~F.get("lines", F.lit(2)).eqNullSafe(head[2]), "namespace")
+    checked = text.withColumn("error", wrong)
+    rows = checked.where("error is null").select("path", F.explode(F.slice("lines", F.lit(4), F.size("lines"))).alias("line")).where("line like '%=%'")
+    undo = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    pairs = rows.select("path", undo(F.substring_index("line", "=", 1)).alias("key"), undo(F.regexp_replace("line", "^[^=]*=", "")).alias("value"))
+    return pairs, checked.where("error is not null").select("path", "error")
