@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,7 +51,9 @@ def spec_roots(specs: DataFrame, classes: DataFrame) -> DataFrame:
 def late_members(dimension: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """The dimension and a bare row for each key that only facts name; present tells them apart."""
     known = dimension.withColumn("present", F.lit(True))
-    late = facts.select(*keys).distinct().join(dimension.select(*keys), keys, "left_anti").withColumn("present", F.lit(False))
+    named = dimension.select(*(F.col(k).alias(f"known_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys))  # a key may have NULL parts
+    late = facts.select(*keys).distinct().join(named, same, "left_anti").withColumn("present", F.lit(False))
     return known.unionByName(late, allowMissingColumns=True)
 
 

@@ -202,7 +202,7 @@ def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT user_id FROM events")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H4."""
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).exceptAll(table(spark, sf_dir, "events").select("user_id").distinct())
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf_dir, "events").select("user_id"))
 
 
 @query("""
