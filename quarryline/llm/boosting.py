@@ -1,7 +1,8 @@
-"""Small gradient-boosted trees: fitted in numpy, applied as one column expression."""
+"""Small gradient-boosted trees: fitted in numpy, applied as one column expression of a size that does not grow with them."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -9,6 +10,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Levels of inner nodes of a tree.
+DEPTH = 3
+
+
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -56,7 +61,7 @@ class Boosted:
     shift: float = 0.0
     threshold: float = 0.5
 
-    def fit(self, x, y, rounds=24, depth=3, least=8):
+    def fit(self, x, y, rounds=24, depth=DEPTH, least=8):
         self.start = float(np.log(y.mean() / (1 - y.mean())))
         raw = np.full(len(y), self.start)
         for _ in range(rounds):
@@ -86,16 +91,27 @@ class Boosted:
     def probability(self, x):
         return sigmoid(self.scale * self.raw(x) + self.shift)
 
-    def column(self, feature: dict[str, Column]) -> Column:
-        """The calibrated probability as an expression over feature columns."""
+    def nodes(self) -> list[dict]:
+        """Each tree as a full one of DEPTH levels: feature (j) and cut (c) of the inner nodes in heap order, values (v) of the leaves."""
+        out = []
+        for tree in self.trees:
+            level, j, c = [tree], [], []
+            for _ in range(DEPTH):
+                below = []
+                for node in level:
+                    leaf = isinstance(node, float)
+                    j.append(0 if leaf else node[0])
+                    c.append(0.0 if leaf else node[1])
+                    below += [node, node] if leaf else [node[2], node[3]]
+                level = below
+            out.append({"j": j, "c": c, "v": level})
+        return out
 
-        def said(tree) -> Column:
-            if isinstance(tree, float):
-                return F.lit(tree)
-            j, cut, low, high = tree
-            return F.when(feature[self.names[j]] <= cut, said(low)).otherwise(said(high))
-
-        total = F.lit(self.start)
-        for t in self.trees:
-            total = total + F.lit(self.rate) * said(t)
+    def column(self, feature: dict[str, Column]) -> Column:
+        """The calibrated probability as an expression over feature columns: the trees are one literal, walked level by level."""
+        trees = F.from_json(F.lit(json.dumps(self.nodes())), "array<struct<j:array<int>,c:array<double>,v:array<double>>>")
+        step = lambda f, t: lambda n, _: 2 * n + F.when(F.get(f, F.get(t["j"], n)) <= F.get(t["c"], n), 1).otherwise(2)
+        leaf = lambda f, t: F.get(t["v"], F.aggregate(F.sequence(F.lit(1), F.lit(DEPTH)), F.lit(0), step(f, t)) - ((1 << DEPTH) - 1))
+        walk = lambda f: F.aggregate(trees, F.lit(self.start), lambda total, t: total + F.lit(self.rate) * leaf(f, t))
+        total = F.transform(F.array(F.array(*(feature[k] for k in self.names))), walk)[0]
         return 1 / (1 + F.exp(-(F.lit(self.scale) * total + F.lit(self.shift))))

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.operators.lineage import cut
 from quarryline.tables import table  # noqa: F401  re-exported for the operators
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -19,20 +17,9 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="quarryline-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
-
-
 def keep(df: DataFrame) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there and a lost executor costs no recomputation."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut(df, "kept")
 
 
 def row_key(text: Column) -> Column:
@@ -49,17 +36,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def prefix_sums(values: Column) -> Column:
-    """Running sums of an array of longs (entry i sums 0 to i), in blocks, so that long arrays stay far from quadratic."""
-    zero = F.lit(0).cast("long")
-    add = lambda a, b: a + b
+def running(values: Column, start: Column, fold, levels: int = 2) -> Column:
+    """Running folds of an array (entry i folds 0 to i) by an associative function with start as its nought.
+
+    Blocks are folded first, their folds run up the same way, so that the work is some BLOCK steps an entry
+    up to BLOCK ** (levels + 1) entries, and long arrays stay linear.
+    """
     block = lambda i: F.floor(i / BLOCK).cast("int")
-    totals = lambda v: F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), zero, add))
-    running = lambda v, t: F.transform(
+    if not levels:
+        whole = lambda v: F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: F.aggregate(F.slice(v, F.lit(1), i + 1), start, fold))
+        return let(values, lambda v: F.when(F.size(v) > 0, whole(v)).otherwise(v))
+    totals = lambda v: F.transform(F.sequence(F.lit(0), block(F.size(v) - 1)), lambda b: F.aggregate(F.slice(v, b * BLOCK + 1, BLOCK), start, fold))
+    inside = lambda v, t: F.transform(
         F.sequence(F.lit(0), F.size(v) - 1),
-        lambda i: F.aggregate(F.slice(v, block(i) * BLOCK + 1, i % BLOCK + 1), F.aggregate(F.slice(t, F.lit(1), block(i)), zero, add), add),
+        lambda i: F.aggregate(F.slice(v, block(i) * BLOCK + 1, i % BLOCK + 1), F.when(block(i) > 0, F.get(t, block(i) - 1)).otherwise(start), fold),
     )
-    return let(values, lambda v: F.when(F.size(v) > 0, let(totals(v), lambda t: running(v, t))).otherwise(F.array().cast("array<bigint>")))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(running(totals(v), start, fold, levels - 1), lambda t: inside(v, t))).otherwise(v))
+
+
+def prefix_sums(values: Column) -> Column:
+    """Running sums of an array of longs."""
+    return running(values, F.lit(0).cast("long"), lambda a, b: a + b)
 
 
 SPANS = "array<struct<s:bigint,e:bigint,body:string,part:string>>"

@@ -69,3 +69,47 @@ def test_empty_and_redact(spark):
     assert pii.digest(pii.scan(spark.createDataFrame([], "doc_id long, text string, base int"))).count() == 0
     got = pii.redact(spark.createDataFrame([(1, "to a@b.cd and +1 (743) 555-3824!")], "doc_id long, text string")).collect()
     assert got[0].text == "to [PII] and [PII]!"
+
+
+PLANTED = {
+    "national_id": ("her SSN is {}", "social security: {} on file", ["123-45-6789", "987-65-4320", "219-09-9999"]),
+    "local_phone": ("please call {} today", "my mobile {} rings", ["212-555-0199", "(415) 555-2671", "303-555-0142"]),
+    "account": ("the IBAN {} is mine", "account {} was charged", ["DE44 5001 0517 5407 3249 31", "GB29601613319268190012", "ES9121000418450200051332"]),
+    "number": ("passport {} was lost", "tel {} after six", ["123-456-789", "555-012-345"]),
+    "birth_date": ("she was born on {} in town", "DOB {} as given", ["1984-03-12", "12/05/1971"]),
+    "document": ("passport {} expired", "his licence {} was found", ["C01234567", "XK1234567"]),
+    "device": ("the device {} joined", "mac {} was seen", ["00:1a:2B:3c:4D:5e", "a1-b2-c3-d4-e5-f6"]),
+    "street": ("she lives at {} now", "address: {} as before", ["221 Baker Street", "12 New Oak Lane", "7 Mill Hill Road"]),
+}
+CLEAN = [
+    "order 12345678 was shipped", "version 1.22.3333 is out", "see page 20240512 of it", "item 303 555 0142 in stock", "published 2024-05-12 by us", "updated on 12.05.2021 again", "model A1234567 sells", "part XK123456 fits",
+    "chapter 12 Oak Street begins", "table 100-200-300 shows", "total 123456789012 units", "invoice 2024/1234 is due", "released 2019-10-11 first", "figure 12 New Road is clear", "sku 123.456.7890 sold", "year 2020-01-15 total",
+]
+
+
+def test_recall_of_planted_kinds(spark):
+    rows, where = [], []
+    for kind, (*forms, bodies) in PLANTED.items():
+        for form in forms:
+            for body in bodies:
+                text = "Some words before it. " + form.format(body) + ", and some after."
+                where.append((kind, text.index(body), text.index(body) + len(body)))
+                rows.append((len(rows), text))
+    clean = [(1000 + i, "There: " + t + ".") for i, t in enumerate(CLEAN)]
+    got = {r.doc_id: r.added for r in pii.scan(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()}
+    found = [any(z.s <= s and e <= z.e for z in got[i]) for i, (_, s, e) in enumerate(where)]
+    assert sum(found) >= 0.9 * len(found), [w for w, ok in zip(where, found, strict=True) if not ok]
+    assert sum(bool(got[i]) for i, _ in clean) <= 0.15 * len(clean), [t for i, t in clean if got[i]]
+
+
+def test_overlaps_are_settled_by_rank(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for i in range(60):
+        spans = [(int(r), int(s), int(s) + int(n)) for r, s, n in zip(rng.integers(0, 12, 90), rng.integers(0, 900 if i % 2 else 5000, 90), rng.integers(1, 20, 90), strict=True)]
+        spans = sorted(set(spans), key=lambda z: (z[1], z[0], z[2]))
+        rows.append((i, [(s, r, e, "k", 1.0) for r, s, e in spans]))
+        want.append([(r, s, e) for r, s, e in spans if r < 4 or not any((q < 4 or q < r) and s < f and t < e for q, t, f in spans)])
+    df = spark.createDataFrame(rows, "i int, v array<struct<s:bigint,rank:int,e:bigint,kind:string,score:double>>")
+    got = df.select("i", pii.uncovered(F.col("v")).alias("v")).orderBy("i").collect()
+    assert [[(z.rank, z.s, z.e) for z in r.v] for r in got] == want
