@@ -19,8 +19,11 @@ def lines(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def matches(rows: DataFrame, keep: list[str], text_col: str, pattern: str, group: int = 0) -> DataFrame:
-    """one row per match of a line, with its ordinal from 0."""
-    return rows.select(*keep, F.posexplode(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(group))).alias("ordinal", "match"))
+    """one row per match of a line, with its ordinal from 0.
+
+    The outer form of the generator, for the plain one would first search once more, in a filter on the number of matches.
+    """
+    return rows.select(*keep, F.posexplode_outer(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(group))).alias("ordinal", "match")).where("ordinal is not null")
 
 
 def bounded(text: Column, most: int) -> Column:
