@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.workers import released
+
 _set = lambda names: frozenset(names.split())
 #: Element groups of the HTML standard.
 VOID = _set("area base br col embed hr img input link meta param source track wbr")
@@ -185,6 +187,33 @@ _BOUNDARY = _set("table td th caption html template button")
 _TABLE = _set("html template")
 
 
+#: Media queries that a plain screen meets; those with conditions are taken as not met.
+_SCREEN = _set("all screen") | {"", "only screen", "only all"}
+
+
+def on_screen(sheet: str) -> str:
+    """A style sheet without its at-rules, but with the rules inside those that concern a screen."""
+    out, at = [], 0
+    while (start := sheet.find("@", at)) >= 0:
+        out.append(sheet[at:start])
+        head = re.compile(r"[^;{]*").match(sheet, start + 1)
+        at = head.end() + 1
+        if sheet[head.end() : at] != "{":
+            continue
+        depth, opened = 1, at
+        for brace in re.compile("[{}]").finditer(sheet, at):
+            depth += 1 if brace[0] == "{" else -1
+            at = brace.end()
+            if not depth:
+                break
+        else:
+            at = len(sheet) + 1
+        name, _, query = head[0].strip().lower().partition(" ")
+        if name in ("layer", "supports") or name == "media" and any(q.strip() in _SCREEN for q in query.split(",")):
+            out.append(on_screen(sheet[opened : at - 1]))
+    return "".join([*out, sheet[at:]])
+
+
 def hiding_rules(root: Node) -> list[tuple[str, str, str]]:
     """(tag, kind, name) of the style sheets' simple selectors that hide; other selectors are not followed."""
     rules, todo = [], [root]
@@ -195,7 +224,7 @@ def hiding_rules(root: Node) -> list[tuple[str, str, str]]:
                 todo.append(child)
         if node.tag == "style":
             sheet = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
-            for selectors, body in _RULE.findall(sheet):
+            for selectors, body in _RULE.findall(on_screen(sheet)):
                 if _HIDDEN.search(body):
                     for s in selectors.split(","):
                         m = _SIMPLE.match(s.strip())
@@ -381,13 +410,12 @@ def extract(html: str | None) -> str:
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        pages = batch.column("html").to_pylist()
-        for lo in range(0, len(pages), 200):
-            texts = [extract(p) for p in pages[lo : lo + 200]]
+        for lo in range(0, batch.num_rows, 200):
+            texts = [extract(p) for p in batch.column("html").slice(lo, 200).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id").slice(lo, 200), pa.array(texts, pa.string())], ["page_id", "text"])
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, text, n_chars. Null and empty pages give empty text; no page is too long or too deep."""
-    found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(_run, "page_id long, text string")
+    found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(released(_run), "page_id long, text string")
     return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))

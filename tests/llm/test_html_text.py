@@ -82,3 +82,9 @@ def test_spark_edges(spark):
     pages = spark.createDataFrame([(1, None), (1, "<p>a"), (None, "")], "page_id long, html string")
     assert sorted((str(r.page_id), r.text) for r in extract_pages(pages).collect()) == [("1", ""), ("1", "a"), ("None", "")]
     assert extract_pages(pages.where("false")).count() == 0
+
+
+def test_rules_inside_media_blocks():
+    hide = "{display:none}"
+    page = f"<style>@media print{{.a{hide}}} @media screen, tv{{.b{hide}}} @import url(x); @supports (x:y){{.c{hide}}} @media (max-width:9px){{.d{hide}}} .e{hide} @media print{{</style>" + "".join(f"<p class={c}>{c}</p>" for c in "abcde")
+    assert extract(page).split() == ["a", "d"]
