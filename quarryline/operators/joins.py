@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarryline.operators.lineage import cut
+
 
 def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "place") -> DataFrame:
     """Rows with their 1-based place within the keys; order has to be total."""
@@ -63,14 +67,34 @@ def next_greater(rows: DataFrame, section: str, value: str, end: Column) -> Data
     return distinct.withColumn("next", F.coalesce(following, end))
 
 
-def cascade(keys: DataFrame, attempts: list[DataFrame], key: str) -> DataFrame:
-    """The candidates of the first attempt that has any for a key; attempts are (key, candidate) tables in order of priority."""
-    ranked = None
-    for i, a in enumerate(attempts):
-        part = a.select(key, "candidate", F.lit(i).alias("level"))
-        ranked = part if ranked is None else ranked.union(part)
-    best = ranked.distinct().withColumn("best", F.min("level").over(Window.partitionBy(key))).where("level = best").drop("best")
-    return keys.join(best, key, "left")
+def cascade(keys: DataFrame, attempts: list[DataFrame | Callable[[DataFrame], DataFrame]], key: str) -> DataFrame:
+    """Keys with the candidates of the first attempt that has any for a key, and that attempt's number (level); NULLs where none has.
+
+    An attempt is a table (key, candidate), or gets the rows of keys that are still without candidates and gives
+    one, so that a wide fallback never meets what a narrow one has settled.
+    """
+    rest, found = cut(keys), None
+    for i, attempt in enumerate(attempts):
+        tried = attempt(rest) if callable(attempt) else attempt.join(rest.select(key), key, "left_semi")
+        part = cut(tried.select(key, "candidate", F.lit(i).alias("level")).distinct())
+        found = part if found is None else found.union(part)
+        if i + 1 < len(attempts):
+            rest = cut(rest.join(part.select(key).distinct(), key, "left_anti"))
+    return keys.join(found, key, "left")
+
+
+def cascade_summaries(keys: DataFrame, targets: DataFrame, levels: list[list[str]], key: str, candidate: str) -> DataFrame:
+    """(key, level, n_candidates, first_candidate): how many candidates the first level of common columns has that has any.
+
+    Targets are counted by each level's columns first, so a frequent value is one row, not all its pairs. Keys and candidates are unique.
+    """
+    met = keys
+    for i, on in enumerate(levels):
+        counted = targets.groupBy(*on).agg(F.count(F.lit(1)).alias(f"n_{i}"), F.min(candidate).alias(f"first_{i}"))
+        met = met.join(counted, on, "left")
+    level = F.coalesce(*(F.when(F.col(f"n_{i}").isNotNull(), i) for i in range(len(levels))))
+    first = lambda name: F.coalesce(*(F.col(f"{name}_{i}") for i in range(len(levels))))
+    return met.select(key, level.alias("level"), F.coalesce(first("n"), F.lit(0)).alias("n_candidates"), first("first").alias("first_candidate"))
 
 
 def first_of(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -27,10 +27,13 @@ def global_rank(rows: DataFrame, scope: str, phase: str, order: list[str], parts
         at = at + F.when(here >= there, 1).otherwise(0)
     dealt = rows.withColumn("range_no", at)
     counts = dealt.groupBy("range_no", phase, scope).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("range_no", phase, scope).rowsBetween(Window.unboundedPreceding, -1)  # one row per range and scope
+    ranges = counts.groupBy("range_no").agg(F.sum("n").alias("in_range"))
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    ranges = F.broadcast(ranges.select("range_no", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("before_range")))
+    before = Window.partitionBy("range_no").orderBy(phase, scope).rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy(scope).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(
-        "range_no", scope, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("ahead_in_scope"), F.sum("n").over(Window.partitionBy(scope)).alias("total")
+    firsts = counts.join(ranges, "range_no").select(
+        "range_no", scope, (F.col("before_range") + F.coalesce(F.sum("n").over(before), F.lit(0))).alias("ahead"), F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("ahead_in_scope"), F.sum("n").over(Window.partitionBy(scope)).alias("total")
     )
     local = F.row_number().over(Window.partitionBy("range_no", scope).orderBy(*order))
     placed = dealt.withColumn("local", local).join(firsts, ["range_no", scope])

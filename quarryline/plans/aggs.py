@@ -173,7 +173,7 @@ def classification_meet_k2(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH s AS (SELECT user_id, list_sort(list(DISTINCT json_extract_string(props, '$.k')) FILTER (event_type = 'click')) AS a, list_sort(list(DISTINCT json_extract_string(props, '$.k')) FILTER (event_type = 'view')) AS b FROM events GROUP BY user_id)
 SELECT user_id, coalesce(a, []) <> coalesce(b, []) AS changed FROM s""")
 def refinement_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a set differs from its baseline."""
+    """H7: whether a set differs from its baseline."""
     e = table(spark, sf_dir, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
     sets = e.groupBy("user_id").agg(*(F.array_sort(F.collect_set(F.when(F.col("event_type") == t, F.col("k")))).alias(n) for t, n in (("click", "a"), ("view", "b"))))
     return sets.select("user_id", (F.col("a") != F.col("b")).alias("changed"))
@@ -247,6 +247,6 @@ def display_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 SELECT l_orderkey, bool_and(l_returnflag = 'N') AS all_n, CASE WHEN count(DISTINCT l_suppkey) = 1 AND min(l_quantity) >= 10 THEN 'exact' WHEN count(DISTINCT l_suppkey) >= 1 THEN 'candidate_set' ELSE 'unresolved' END AS classification FROM lineitem GROUP BY l_orderkey""")
 def atom_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact only with one atom and enough confidence."""
+    """Exact only with one atom and enough confidence."""
     g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_returnflag") == "N").alias("all_n"), F.count_distinct("l_suppkey").alias("atoms"), F.min("l_quantity").alias("least"))
     return g.select("l_orderkey", "all_n", F.when((F.col("atoms") == 1) & (F.col("least") >= 10), "exact").when(F.col("atoms") >= 1, "candidate_set").otherwise("unresolved").alias("classification"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarryline.plans import aggs, evidence, graphs, joins, rules, texts
+from quarryline.plans import aggs, decodes, evidence, graphs, joins, rules, texts
 
 FLAGSHIP = "evidence_window_resolution"
-MODULES = (joins, aggs, graphs, texts, rules, evidence)
+MODULES = (joins, aggs, graphs, texts, rules, evidence, decodes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -25,7 +25,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, printf('0x%08x', l_partkey) AS address, printf('0x%08x', l_partkey & ~1) AS canonical, l_partkey & 1 = 1 AS flagged FROM lineitem")
 def address_render(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C2, C3, G1."""
+    """C2, C3."""
     a = F.col("l_partkey")
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ids.address(a).alias("address"), ids.address(ids.clear_low_bit(a)).alias("canonical"), (a.bitwiseAND(F.lit(1)) == 1).alias("flagged"))
 
@@ -73,14 +73,14 @@ def constants(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""
 WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n FROM t GROUP BY ALL""")
 def page_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Elements of a page by tag."""
+    """element names of a page, counted; a tag expression, no tree."""
     return text.matches(table(spark, sf_dir, "pages"), ["page_id"], "html", "<([a-z][a-z0-9]*)", 1).groupBy("page_id", F.col("match").alias("tag")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""
 WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS link FROM pages) SELECT page_id, count(*) AS n_links, array_to_string(list_sort(list(DISTINCT link)), ' ') AS links FROM t GROUP BY page_id""")
 def page_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute values of a page, as a set."""
+    """Attribute values of a page, as a set."""
     found = text.matches(table(spark, sf_dir, "pages"), ["page_id"], "html", 'href="([^"]*)"', 1)
     return found.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_links"), joined_set(F.col("match"), " ").alias("links"))
 
@@ -101,7 +101,7 @@ def source_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT event_id, CASE WHEN event_type = 'purchase' AND value > 50 THEN 'message_super' WHEN event_type = 'purchase' THEN 'message' WHEN event_type IN ('click', 'view') THEN 'reference' ELSE 'other' END AS family,
   event_type IN ('purchase', 'click') AS resolved, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'signup' THEN 'external' END AS unresolved_reason FROM events""")
 def runtime_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered rules as one CASE."""
+    """Ordered rules as one CASE over event types; the rules themselves are in ``plans.rules``."""
     t = F.col("event_type")
     family = F.when((t == "purchase") & (F.col("value") > 50), "message_super").when(t == "purchase", "message").when(t.isin("click", "view"), "reference").otherwise("other")
     return table(spark, sf_dir, "events").select("event_id", family.alias("family"), t.isin("purchase", "click").alias("resolved"), F.when(t == "error", "failed").when(t == "signup", "external").alias("unresolved_reason"))
@@ -109,7 +109,7 @@ def runtime_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey, (p_size >> 3)::VARCHAR || '.' || ((p_size >> 1) & 3)::VARCHAR || '.' || (p_size & 1)::VARCHAR AS version, regexp_matches(p_name, '^new([^a-z]|$)') AS new_family, upper(p_brand) || '/' || replace(p_type, ' ', '_') AS path FROM part")
 def scalar_decodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits, prefixes and safe text."""
+    """Bits, prefixes and safe text; J21 in the packing of a part's size."""
     s = F.col("p_size")
     version = F.concat_ws(".", F.shiftright(s, 3).cast("string"), F.shiftright(s, 1).bitwiseAND(F.lit(3)).cast("string"), s.bitwiseAND(F.lit(1)).cast("string"))
     return table(spark, sf_dir, "part").select("p_partkey", version.alias("version"), text.is_new_family(F.col("p_name")).alias("new_family"), F.concat(F.upper("p_brand"), F.lit("/"), F.replace("p_type", F.lit(" "), F.lit("_"))).alias("path"))

@@ -82,7 +82,7 @@ def code_copies(previous: DataFrame, current: DataFrame) -> DataFrame:
 def cell(value: Column) -> Column:
     """A value as it can stand in a table: one line, bars and comment ends taken apart."""
     plain = F.regexp_replace(F.regexp_replace(value.cast("string"), r"[\r\n]+", " "), r"\*/", "* /")
-    return F.coalesce(F.regexp_replace(plain, r"\|", r"\\\\|"), F.lit(""))
+    return F.coalesce(F.replace(plain, F.lit("|"), F.lit("\\|")), F.lit(""))
 
 
 def markdown(title: str, df: DataFrame, order: list[str], most: int = 1000) -> str:

@@ -36,7 +36,7 @@ def asset_matches(fields: DataFrame, assets: DataFrame) -> DataFrame:
     wanted = F.regexp_replace("value", r"\\", "/")
     base = F.regexp_extract(wanted, r"([^/]+)$", 1)
     attempts = [(F.col("asset_path"), wanted), (name, base), (stem, F.regexp_replace(F.regexp_replace(base, r"\.[^.]*$", ""), r"(?i)@[1-9][0-9]*x$", ""))]
-    found = [asked.select("value", mine.alias("k")).join(assets.select(theirs.alias("k"), F.col("asset").alias("candidate")), "k").select("value", "candidate") for theirs, mine in attempts]
+    found = [lambda rest, theirs=theirs, mine=mine: rest.select("value", mine.alias("k")).join(assets.select(theirs.alias("k"), F.col("asset").alias("candidate")), "k").select("value", "candidate") for theirs, mine in attempts]
     best = cascade(asked, found, "value").select("value", "candidate")
     return fields.where("role = 'image'").select("path", "node", "value").join(best, "value").select("path", "node", "value", "candidate")
 
@@ -45,9 +45,9 @@ def action_matches(connections: DataFrame, elements: DataFrame, methods: DataFra
     """(path, source, selector, method_id, classification): methods behind actions, by the destination's class and selector, else by selector alone."""
     named = elements.where("custom_class is not null").select("path", F.col("node_id").alias("destination"), "custom_class")
     actions = connections.where("kind = 'action'").join(named, ["path", "destination"], "left").withColumn("action", F.concat_ws("|", "path", "source", "selector", "destination"))
-    by_class = actions.join(methods.select(F.col("class_name").alias("custom_class"), "selector", F.col("method_id").alias("candidate")), ["custom_class", "selector"]).select("action", "candidate")
-    by_selector = actions.join(methods.select("selector", F.col("method_id").alias("candidate")), "selector").select("action", "candidate")
-    found = cascade(actions.select("action").distinct(), [by_class, by_selector], "action")
+    named_by = methods.select(F.col("class_name").alias("custom_class"), "selector", F.col("method_id").alias("candidate"))
+    asked = actions.select("action", "custom_class", "selector").distinct()
+    found = cascade(asked, [lambda rest: rest.join(named_by, ["custom_class", "selector"]), lambda rest: rest.join(named_by.drop("custom_class"), "selector")], "action")
     counted = found.groupBy("action").agg(F.array_sort(F.collect_set("candidate")).alias("method_ids"))
     n = F.size("method_ids")
     return actions.join(counted, "action").select("path", "source", "selector", "method_ids", F.when(n == 0, "unresolved").when(n == 1, "exact").otherwise("candidate_set").alias("classification"))
