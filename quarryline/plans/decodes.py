@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.functions import grammar, ids, text
+from quarryline.functions import grammar, ids, native, text
 from quarryline.plans.registry import Query, registrar
 from quarryline.plans.rules import _sql, picked
 from quarryline.sources import bundles, executables, sinks
@@ -161,3 +161,37 @@ SELECT o_orderkey, 'order:' || substr(sha256('order' || chr(0) || o_orderkey ||
 def composite_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of two numbers."""
     return table(spark, sf_dir, "orders").select("o_orderkey", ids.stable_id("order", F.col("o_orderkey"), F.col("o_custkey")).alias("id"))
+
+
+CODE = ["  *(int *)(p + 0x10) = *(char *)((int)q - 4);", "x = p->field0_0x0[3] + p->field_0x1c;", "return p->field0_0x8 == 1;", "(**(code **)(*(int *)r + 8))(r); (**(code **)*s)(s);", "(**(code **)(r + 6))();", "plain;"]
+_ACCESSED = """a(i, ordinal, form, base, "offset", width, type, access) AS (VALUES (0, 0, 'pointer', 'p', 16, 4, 'int', 'write'), (0, 1, 'pointer', 'q', -4, 1, 'char', 'read'), (1, 0, 'array', 'p', 12, 4, NULL, 'read'), (1, 1, 'member', 'p', 28, NULL, NULL, 'read'),
+  (2, 0, 'member', 'p', 8, NULL, NULL, 'write')), r AS (SELECT p_partkey AS function, ordinal, form, base, "offset"::BIGINT AS "offset", width, type, access FROM part JOIN a ON i = p_partkey % 6)"""
+
+
+def code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), picked(CODE, F.col("p_partkey")).alias("text"))
+
+
+@query(f"""WITH {_ACCESSED} SELECT * FROM r""")
+def field_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An equal sign anywhere in the line decides, as in a comparison."""
+    return native.field_accesses(code(spark, sf_dir), 4).drop("line_no")
+
+
+@query("""
+WITH c(i, ordinal, form, receiver, slot) AS (VALUES (3, 0, 'byte_offset', 'r', 2), (3, 1, 'zero_offset', 's', 0), (1, 0, 'array_index', 'p', 3)) SELECT p_partkey AS function, ordinal, form, receiver, slot::BIGINT AS slot FROM part JOIN c ON i = p_partkey % 6""")
+def virtual_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A byte place that is no slot is no call."""
+    return native.virtual_calls(code(spark, sf_dir), 4).drop("line_no")
+
+
+@query(f"""
+WITH {_ACCESSED}, k AS (SELECT r.*, p_size % 3 = 0 AND base = 'p' AS sure, CASE WHEN p_size % 3 = 0 AND base = 'p' THEN 'class:' || p_brand ELSE 'anonymous:' || function || ':' || base END AS owner FROM r JOIN part ON p_partkey = function),
+f AS (SELECT owner, sure, "offset", count(*) AS n, count(DISTINCT width) AS w, count(DISTINCT type) AS t FROM k GROUP BY ALL)
+SELECT owner, "offset", n, CASE WHEN sure AND w = 1 AND t = 1 THEN 'exact' WHEN w > 0 OR t > 0 THEN 'candidate_set' ELSE 'unresolved' END AS classification,
+  array_to_string(list_sort(list_filter([CASE WHEN w = 0 THEN 'no_width' END, CASE WHEN t = 0 THEN 'no_type' END, CASE WHEN NOT sure THEN 'owner_not_exact' END], lambda x: x IS NOT NULL)), ',') AS reasons FROM f""")
+def native_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of every third size have receivers of one sure class, their brand."""
+    receivers = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("function"), F.lit("p").alias("base"), F.array("p_brand").alias("classes"), (F.col("p_size") % 3 == 0).alias("exact"))
+    fields, _ = native.layouts(native.field_accesses(code(spark, sf_dir), 4), receivers)
+    return fields.select("owner", "offset", "n", "classification", "reasons")

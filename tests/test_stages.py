@@ -176,3 +176,18 @@ def test_analysis_workspace_and_plugins(spark, make, tmp_path):
     assert list(found) == ["a", "b"] and found["a"].facts["n"].first()[0] == 5
     with pytest.raises(ValueError, match="one name"):
         run_plugins(spark, {}, [Count("a"), Count("a")])
+
+
+def test_native(spark, make):
+    from quarryline.stages import native
+
+    text = "*(int *)(p + 4) = 1;\n*(short *)(p + 4) = 2;\nx = *(char *)(q + 0);\n(**(code **)(*(int *)p + 8))(p);"
+    tables = {
+        "texts": make("function string, text string", ("f", text), ("g", "*(int *)(p + 4) = *(int *)(p + 4) + 1;")), "receivers": make("function string, base string, classes array<string>, exact boolean", ("f", "p", ["Node"], True), ("g", "p", ["Node"], True)),
+        "indirect_edges": make("function string, edge string", ("f", "e1"), ("g", "e2")),
+    }
+    made = native.infer_native(spark, tables)
+    assert {(r.owner, r.offset, tuple(r.widths), r.reasons) for r in made.facts["fields"].collect()} == {("class:Node", 4, (2, 4), "conflicting_widths,several_types"), ("anonymous:f:q", 0, (1,), "owner_not_exact")}
+    assert rows(made.facts["layouts"], "owner", "n_accesses", "classification") == {("class:Node", 4, "exact"), ("anonymous:f:q", 1, "unresolved")}
+    assert sorted(made.facts["accesses"].where("function = 'g'").toPandas()["access"]) == ["read", "write"]
+    assert rows(made.facts["associations"], "function", "identity", "associated") == {("f", 2, True), ("g", None, False)}
