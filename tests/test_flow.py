@@ -17,3 +17,21 @@ def test_small_flow(spark):
     assert got == {(1, "x"): (3, False, 0), (2, "x"): (3, False, 1), (3, "x"): (1, False, 2), (1, "y"): (2, True, 0), (2, "y"): (2, True, 1), (3, "y"): (1, True, 1)}
     path = {(r.node, r.atom): r.path for r in flow.best_path_parity(roots, edges).collect()}
     assert path[3, "x"] == "a,b" and path[3, "y"] == "c" and path[1, "x"] == ""
+
+
+def test_purchase_components_are_what_union_and_find_gives(spark):
+    from quarryline.plans import graphs
+
+    small = "/root/testdata/sf0.001"
+    links = [tuple(r) for r in graphs.purchase_edges(spark, small).collect()]
+    up = {n: n for e in links for n in e}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    assert links and {r.node: r.label for r in graphs.purchase_components(spark, small).collect()} == {n: find(n) for n in up}
