@@ -416,6 +416,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, text, n_chars. Null and empty pages give empty text; no page is too long or too deep."""
+    """One row per input row: page_id, text, n_chars.
+
+    Null and empty pages give empty text; no page is too long or too deep. Repeated rows are rows of their own, ids
+    may be null. An empty table gives an empty result; other columns, whatever their names, are not looked at.
+    """
     found = pages.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).mapInArrow(released(_run), "page_id long, text string")
     return found.select("page_id", "text", F.length("text").cast("long").alias("n_chars"))

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm import hashing as H
 from quarryline.llm.sampling import fold, per_label
+from quarryline.llm.workers import released, runs
 
 BUCKETS, DIMENSIONS = 1 << 16, 16
 #: Labelled documents of each language that are fitted or calibrated at most (in expectation).
@@ -121,10 +121,9 @@ def fit(bags: list[tuple[str, np.ndarray, np.ndarray]]) -> LanguageModel:
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
         buckets, shares = [], []
-        for t in texts:
-            b, n = np.unique(subwords([t or ""])[0], return_counts=True)
+        for t in (t for _, run in runs(batch.column("text")) for t in run):
+            b, n = np.unique(subwords([t])[0], return_counts=True)
             buckets.append(b.astype(np.int32))
             shares.append((n / max(1, n.sum())).astype(np.float32))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(buckets, pa.list_(pa.int32())), pa.array(shares, pa.list_(pa.float32()))], ["doc_id", "lang", "buckets", "shares"])
@@ -133,7 +132,7 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame) -> LanguageModel:
     """Fits on labelled documents outside the held-out third; docs has doc_id, text and lang."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.coalesce(fold("doc_id", 3), F.lit(1)) != 1)).select("doc_id", "text", "lang")
-    rows = per_label(labelled, "lang", "doc_id", PER_LANGUAGE).mapInArrow(_bags, "doc_id long, lang string, buckets array<int>, shares array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    rows = per_label(labelled, "lang", "doc_id", PER_LANGUAGE).mapInArrow(released(_bags), "doc_id long, lang string, buckets array<int>, shares array<float>").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     cols = [rows.column(c).to_pylist() for c in ("lang", "buckets", "shares")]
     return fit([(lang, np.array(b, np.int64), np.array(s)) for lang, b, s in zip(*cols, strict=True) if b])
 
@@ -144,22 +143,21 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, out = batch.column("text").to_pylist(), []
-            start = 0
-            for run_ in H.slices([t or "" for t in texts]):
-                out += shared.value.predict(texts[start : start + len(run_)])
-                start += len(run_)
+            out = [said for _, texts in runs(batch.column("text")) for said in shared.value.predict(texts)]
             cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], ["doc_id", "lang_pred", "score", "accepted"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, accepted boolean")
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, lang_pred string, score double, accepted boolean")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, accepted.
 
     Null texts and texts without a letter are `und` with score 0. Where no labelled row can be learned from,
-    all rows are. A null id is not held out and not learned from.
+    all rows are. A null id is not held out and not learned from; repeated rows are told and learned from each.
+    Of more than ``sampling.MOST_LABELS`` languages the most frequent ones are learned, of equal scores the first
+    by name is told. Long texts are averaged whole; an empty table gives an empty result; columns other than the
+    three named ones, whatever their names, are not looked at.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     return predict(docs, train(docs)).select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")

@@ -11,48 +11,59 @@ from quarryline.llm.common import table
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the base spans and all spans, as ``secrets.scan`` finds them; nulls, empty and long texts, repeats and empty tables as there."""
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal documents by whole text, as ``exact_dedup.exact_dedup`` groups them; nulls, ties, repeats and empty tables as there."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page, as ``html_text.extract_pages`` lays it out; nulls, empty, long and damaged pages as there."""
     return html_text.extract_pages(table(spark, sf_dir, "pages"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers that go from every document, exact repeats of short lines included, as ``line_dedup.report`` decides."""
     return line_dedup.report(table(spark, sf_dir, "documents"), short=True)
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies by word shingles, as ``ngram_join.ngram_join`` links them; empty texts, ties and null ids as there."""
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that every document holds, as ``decontamination.report`` finds them; short items, nulls and long texts as there."""
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, as ``langid.identify`` learns and tells it."""
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, as ``toxicity.judge`` learns and scores it."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document with their places in sequences, as ``packing.pack`` plans them."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of ``corpus_pipeline`` over the documents, each written and read again."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts, digest of the base spans and all spans, as ``pii.scan`` finds them."""
     return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quarryline.llm import hashing as H
 from quarryline.llm.common import bounded
 from quarryline.llm.sampling import fold, per_label
+from quarryline.llm.workers import released, runs
 
 BITS = 22
 #: Labelled documents of each class that are fitted or calibrated at most (in expectation).
@@ -121,7 +122,7 @@ def fit(rows: list[tuple[np.ndarray, int]], prior: float) -> ToxicityModel:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [np.unique(features([t or ""])[0]).astype(np.int32) for t in batch.column("text").to_pylist()]
+        found = [np.unique(features([t])[0]).astype(np.int32) for _, run in runs(batch.column("text")) for t in run]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "coordinates"])
 
 
@@ -130,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     known = labels.where(F.col("toxic").isin(0, 1) & (F.coalesce(fold("doc_id", 5), F.lit(0)) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     chosen = per_label(known, "toxic", "doc_id", PER_CLASS)
-    rows = docs.select("doc_id", "text").join(bounded(chosen, 4 * PER_CLASS), "doc_id").mapInArrow(_rows, "doc_id long, toxic int, coordinates array<int>").toArrow().sort_by("doc_id")
+    rows = docs.select("doc_id", "text").join(bounded(chosen, 4 * PER_CLASS), "doc_id").mapInArrow(released(_rows), "doc_id long, toxic int, coordinates array<int>").toArrow().sort_by("doc_id")
     lists = rows.column("coordinates").combine_chunks()
     offsets, values = (lists.offsets.to_numpy(), lists.values.to_numpy()) if len(lists) else (np.zeros(1, int), np.zeros(0, int))
     labels_ = rows.column("toxic").to_pylist()
@@ -144,10 +145,10 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.score(run_) for run_ in H.slices([t or "" for t in batch.column("text").to_pylist()])]
+            got = [shared.value.score(texts) for _, texts in runs(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), pa.array(np.concatenate(got) if got else np.zeros(0), pa.float64())], [*ids, "score"])
 
-    found = docs.select(*ids, "text").mapInArrow(run, ", ".join(f"{c} long" for c in ids) + ", score double")
+    found = docs.select(*ids, "text").mapInArrow(released(run), ", ".join(f"{c} long" for c in ids) + ", score double")
     return found.select(*ids, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
@@ -155,7 +156,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """One row per input row: doc_id, held_out, score, predicted. Without labelled rows nothing is toxic; with one class only, that class.
 
     A document with several labels counts as toxic if any says so; ids that labels lack are scored alike; a
-    null id is neither held out nor learned from.
+    null id is neither held out nor learned from. Null and empty texts get the score of no evidence. Repeated rows
+    are scored, and learned from, each. Long texts are scored whole; an empty table gives an empty result; other
+    columns, whatever their names, are not looked at.
     """
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return score(docs, train(docs, labels)).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -74,3 +74,26 @@ def test_weights_are_sparse(spark):
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     model = toxicity.train(docs, spark.createDataFrame(toxic, "doc_id long, toxic int"))
     assert 0 < len(model.coordinates) < 5000
+
+
+def test_long_texts_clashing_columns_and_several_labels(spark):
+    rng = random.Random(6)
+    bad, good = ["vile", "scum", "filth"], ["kind", "warm", "calm"]
+    text = lambda words, n: " ".join(rng.choice(words) if rng.random() < 0.3 else f"w{rng.randrange(40)}" for _ in range(n))
+    rows = [(i, text(bad if i % 2 else good, 60), "en" if i % 2 else "fr", 0.5, True) for i in range(400)]
+    rows += [(900, text(bad, 200_000), "en", 0.5, True), (901, text(good, 200_000), "fr", 0.5, True), (902, "", None, 0.5, True), (903, None, None, 0.5, True), (None, text(bad, 60), "en", 0.5, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, held_out boolean").repartition(3)
+    labels = spark.createDataFrame([(i, t) for i in range(400) for t in ([0, 1, 1] if i % 2 else [0, 0])] + [(5, None), (None, 1)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.judge(docs, labels).collect()}
+    assert len(got) == len(rows) and got[900].predicted == 1 and got[901].predicted == 0 and got[None].predicted == 1 and not got[None].held_out
+    assert all(0 <= r.score <= 1 for r in got.values()) and sum(got[i].predicted == i % 2 for i in range(400)) >= 390
+    said = {r.doc_id: r for r in langid.identify(docs).collect()}
+    assert len(said) == len(rows) and (said[900].lang_pred, said[901].lang_pred, said[902].lang_pred, said[903].lang_pred) == ("en", "fr", "und", "und")
+
+
+def test_labels_are_bounded(spark, monkeypatch):
+    from quarryline.llm import sampling
+
+    monkeypatch.setattr(sampling, "MOST_LABELS", 2)
+    rows = spark.createDataFrame([(i, "abc"[min(i % 7, 2)]) for i in range(70)] + [(99, None)], "doc_id long, lang string")
+    assert {r.lang for r in sampling.per_label(rows, "lang", "doc_id", 1000).collect()} == {"a", "c"}  # of equal counts the first in order

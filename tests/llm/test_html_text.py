@@ -88,3 +88,9 @@ def test_rules_inside_media_blocks():
     hide = "{display:none}"
     page = f"<style>@media print{{.a{hide}}} @media screen, tv{{.b{hide}}} @import url(x); @supports (x:y){{.c{hide}}} @media (max-width:9px){{.d{hide}}} .e{hide} @media print{{</style>" + "".join(f"<p class={c}>{c}</p>" for c in "abcde")
     assert extract(page).split() == ["a", "d"]
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "<p>a</p>", "x", 5), (1, "<p>a</p>", "y", 6), (None, None, "z", 7)]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == [(0, "", 0), (1, "a", 1), (1, "a", 1)]
