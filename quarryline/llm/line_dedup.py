@@ -114,7 +114,8 @@ def _gone(docs: DataFrame, short: bool) -> DataFrame:
     home = docs.join(bounded(keep(senders.select(F.col("first.doc").alias("home")).distinct())), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("home"), "left_semi")
     texts = lines(home).select(F.struct("doc", "line_no", "row").alias("first"), "words").dropDuplicates(["first"])
     sending = keep(senders.join(texts, "first"))
-    sent = sending.select("fp", "first", F.explode(variants()).alias("key"))
+    # the outer form, for the plain one would first make the variants once more, in a filter on their number
+    sent = sending.select("fp", "first", F.explode_outer(variants()).alias("key")).where("key is not null")
     lead = sent.groupBy("key").agg(F.min("first").alias("lead"), F.max("first").alias("tail")).where(_place("lead") < _place("tail")).select("key", "lead")
     found = sent.join(lead, "key").where(_place("lead") < _place("first")).select("fp", "lead").distinct()
     of = lambda x: sending.select(F.col("first").alias(f"{x}_first"), F.col("fp").alias(f"{x}_fp"), F.col("words").alias(f"{x}_words"))
