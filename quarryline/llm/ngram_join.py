@@ -31,6 +31,7 @@ from pyspark.sql.window import Window
 from quarryline.llm import hashing as H
 from quarryline.llm.common import bounded, keep, row_key
 from quarryline.llm.components import connect
+from quarryline.llm.workers import released, runs
 
 #: Link when NUM * union <= DEN * intersection.
 NUM, DEN = 80, 100
@@ -131,16 +132,6 @@ def keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, ids: np.ndarra
     return tuple(np.concatenate([o[i] for o in out]) if out else np.zeros(0, np.int64 if i < 3 else np.int32) for i in range(4))
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
-    """(first row, texts) of runs of bounded size."""
-    column = batch.column("text").cast(pa.binary())
-    for lo in range(0, len(column), 256):
-        done = lo
-        for run in H.slices([t or b"" for t in column.slice(lo, 256).to_pylist()]):
-            yield done, run
-            done += len(run)
-
-
 def sketches(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
     """A byte for each of 2^k segments, k the band: the sum of the segment's tokens. Sketches of different bands fold."""
     width = np.where(sizes > 0, 1 << np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
@@ -222,7 +213,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for done, run in _runs(batch):
+        for done, run in runs(batch.column("text").cast(pa.binary())):
             owner, token = H.shingle_sets(run)
             sizes, ids = H.set_ids(owner, token, len(run))
             names = [c for c in ("doc_id", "row") if c in batch.schema.names]
@@ -232,13 +223,13 @@ def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, run in _runs(batch):
+        for _, run in runs(batch.column("text").cast(pa.binary())):
             yield pa.RecordBatch.from_arrays([pa.array(H.shingle_sets(run)[1].view(np.int64))], ["token"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for _, run in _runs(batch):
+        for _, run in runs(batch.column("text").cast(pa.binary())):
             owner, token = H.shingle_sets(run)
             sizes, ids = H.set_ids(owner, token, len(run))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token.view(np.int64)))
@@ -249,7 +240,7 @@ def _keyed(costs):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # a task sends a set once, however many copies it reads
         for batch in batches:
-            for _, run in _runs(batch):
+            for _, run in runs(batch.column("text").cast(pa.binary())):
                 owner, token = H.shingle_sets(run)
                 sizes, ids = H.set_ids(owner, token, len(run))
                 new = np.zeros(len(run), bool)
@@ -268,7 +259,7 @@ def frequent_tokens(docs: DataFrame, rows: int) -> Costs:
     """Costs from a sample of about SAMPLE documents."""
     share = min(1.0, SAMPLE / max(rows, 1))
     some = docs.select("text").sample(withReplacement=False, fraction=share, seed=7) if share < 1 else docs.select("text")
-    counted = some.mapInArrow(_tokens, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    counted = some.mapInArrow(released(_tokens), "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
     top = counted.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
     return Costs([r["token"] for r in top], [r["count"] for r in top], 1 / share)
 
@@ -279,7 +270,7 @@ def buckets(docs: DataFrame, costs) -> DataFrame:
     A set gives up its most frequent keys, those of salted buckets first. Their true sizes are not known
     here, so these follow each other by key.
     """
-    rows = docs.select("text").mapInArrow(_keyed(costs), "bucket long, set_id long, base long, spare int")
+    rows = docs.select("text").mapInArrow(released(_keyed(costs)), "bucket long, set_id long, base long, spare int")
     together = Window.partitionBy("bucket")
     met = rows.select(
         F.col("base").isNotNull().alias("salted"), "bucket", F.coalesce("base", "bucket").alias("base"), "set_id", "spare",
@@ -309,13 +300,13 @@ class Verifier:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
         pairs = keep(pairs)
         self.tested = pairs if self.tested is None else keep(self.tested.union(pairs))
-        near = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_near, "a long, b long"))
+        near = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_near), "a long, b long"))
         need = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
         if self.sets is not None:
             need = need.join(self.sets.select("set_id"), "set_id", "left_anti")
         wanted = keep(need.join(self.classes.select("set_id", "first_id"), "set_id").select(F.col("first_id").alias("doc_id")))
         if not wanted.isEmpty():
-            fresh = keep(self.docs.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(_sets, "set_id long, tokens array<long>").dropDuplicates(["set_id"]))
+            fresh = keep(self.docs.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(released(_sets), "set_id long, tokens array<long>").dropDuplicates(["set_id"]))
             self.sets = fresh if self.sets is None else self.sets.union(fresh)
         if self.sets is None:
             return near
@@ -328,6 +319,13 @@ def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.where(F.col(x) != F.col(y)).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct()
 
 
+def _apart(pairs: DataFrame, x: str, y: str, labels: DataFrame) -> DataFrame:
+    """The pairs whose members are not in one component yet."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+    met = pairs.join(label(x), x, "left").join(label(y), y, "left")
+    return met.where(F.coalesce(f"label_{x}", x) != F.coalesce(f"label_{y}", y)).select(x, y)
+
+
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, the smallest id reachable by links, itself included.
 
@@ -341,7 +339,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = docs.select(F.col(id_col).alias("doc_id"), *(c.alias(k) for k, c in keys.items()), F.col(text_col).alias("text"))
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = docs.count()
-    members = keep(keyed.mapInArrow(_sizes, "doc_id long, " + "row long, " * row + "n_shingles long, set_id long, sketch binary"))
+    members = keep(keyed.mapInArrow(released(_sizes), "doc_id long, " + "row long, " * row + "n_shingles long, set_id long, sketch binary"))
     costs = docs.sparkSession.sparkContext.broadcast(frequent_tokens(docs, rows))
     shared = keep(_pivoted(keep(buckets(docs, costs))))
     classes = members.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_id"), F.max("n_shingles").alias("n"))
@@ -349,10 +347,15 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = shared.select("set_id").distinct().join(classes, "set_id")
     drawn = members.select("set_id", F.col("doc_id").alias("first_id"), "sketch").dropDuplicates(["set_id", "first_id"])
     verifier = Verifier(docs, keep(met.join(drawn, ["set_id", "first_id"])))
-    # first round: everyone against the first member, and the first members of a key's salted buckets among each other
+    # first round: everyone against the pivot it shares most keys with, then, where that leaves them apart, against the
+    # other pivots; a key's salted buckets have several, which meet the first of them
     heads = shared.where("salted").select("base", F.col("pivot").alias("head")).distinct()
     heads = heads.join(heads.groupBy("base").agg(F.min("head").alias("top")), "base")
-    links = verifier.links(_pairs(shared, "set_id", "pivot").union(_pairs(heads, "head", "top")).distinct())
+    asked = keep(shared.where("set_id <> pivot").groupBy("set_id", "pivot").agg(F.count(F.lit(1)).alias("n")))
+    nearest = asked.groupBy("set_id").agg(F.max(F.struct("n", "pivot")).alias("m")).select("set_id", F.col("m.pivot").alias("pivot"))
+    links = verifier.links(_pairs(nearest, "set_id", "pivot").union(_pairs(heads, "head", "top")).distinct())
+    labels = connect(links)
+    links = links.union(verifier.links(_pairs(_apart(asked, "set_id", "pivot", labels), "set_id", "pivot")))
     labels = connect(links)
     # then the members that were no pivots, where they lie in several components
     live = shared.where("salted or set_id <> pivot").select("base", "set_id").distinct()
@@ -371,7 +374,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     member = F.struct("set_id", "label", "n", "sketch", "bases")
     every = dealt.groupBy("base", "block").agg(F.collect_list(member).alias("every"))
     odd = dealt.where("label <> low").groupBy("base", "block").agg(F.collect_list(member).alias("odd"))
-    more = verifier.links(every.drop("block").join(odd.drop("block"), "base").select("base", "odd", "every").mapInArrow(_across, "a long, b long").distinct())
+    more = verifier.links(every.drop("block").join(odd.drop("block"), "base").select("base", "odd", "every").mapInArrow(released(_across), "a long, b long").distinct())
     if not more.isEmpty():
         labels = connect(links.union(more))
     reached = classes.join(labels, classes["set_id"] == labels["node"], "left").select("set_id", "first_id", F.coalesce("label", "set_id").alias("label"))
