@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quarryline.llm import hashing as H
 from quarryline.llm.common import bounded
 from quarryline.llm.sampling import fold, per_label
-from quarryline.llm.workers import released, runs
+from quarryline.llm.workers import give_back, released, runs
 
 BITS = 22
 #: Labelled documents of each class that are fitted or calibrated at most (in expectation).
@@ -126,6 +126,80 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "coordinates"])
 
 
+def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
+    """Fits on labelled documents outside the held-out fifth; docs has doc_id and text, labels doc_id and toxic."""
+    known = labels.where(F.col("toxic").isin(0, 1) & (F.coalesce(fold("doc_id", 5), F.lit(0)) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    chosen = per_label(known, "toxic", "doc_id", PER_CLASS)
+    found = docs.select("doc_id", "text").join(bounded(chosen, 4 * PER_CLASS), "doc_id").mapInArrow(released(_rows), "doc_id long, toxic int, coordinates array<int>").toArrow()
+    sets: list[np.ndarray] = []  # views into the table, which is not copied again to be sorted
+    for chunk in found.column("coordinates").chunks:
+        offsets, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        sets += [values[lo:hi] for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    order, toxic = np.argsort(found.column("doc_id").to_numpy(), kind="stable"), found.column("toxic").to_pylist()
+    model = fit([(sets[i], toxic[i]) for i in order.tolist()], counts.get(1, 0) / max(1, sum(counts.values())))
+    del sets, found
+    give_back()
+    return model
+
+
+def score(self, texts: list[str]) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.raw(texts) + self.shift, -30, 30)))
+
+
+class Ftrl:
+    """FTRL-proximal with per-coordinate rates; the last coordinate is the bias and is not shrunk."""
+
+    def __init__(self):
+        self.z, self.n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
+
+    def weights(self, at) -> np.ndarray:
+        z, n = self.z[at], self.n[at]
+        w = -np.maximum(np.abs(z) - np.where(at == 1 << BITS, 0, L1), 0) * np.sign(z) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        return w
+
+    def update(self, at: np.ndarray, y: float, weight: float) -> None:
+        w = self.weights(at)
+        g = weight * (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - y)
+        step = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / ALPHA
+        self.z[at] += g - step * w
+        self.n[at] += g * g
+
+
+def fit(rows: list[tuple[np.ndarray, int]], prior: float) -> ToxicityModel:
+    """rows: (distinct coordinates, label) in a fixed order; prior: share of label 1 among all labelled rows."""
+    learner, rng = Ftrl(), np.random.default_rng(SEED)
+    held = [r for i, r in enumerate(rows) if i % HELD == 0] if len(rows) >= 50 else rows
+    fitted = [r for i, r in enumerate(rows) if i % HELD] if len(rows) >= 50 else rows
+    share = sum(y for _, y in rows) / max(1, len(rows))
+    for _ in range(EPOCHS):
+        for i in rng.permutation(len(fitted)):
+            at, y = fitted[i]
+            learner.update(np.append(at, 1 << BITS), y, 1.0)
+    there = np.nonzero(np.abs(learner.z[:-1]) > L1)[0]
+    model = ToxicityModel(there, learner.weights(there), float(learner.weights(np.array([1 << BITS]))[0]))
+    w = np.zeros(1 << BITS, np.float32)
+    w[there] = model.weights
+    del learner
+    if not 0 < share < 1:
+        model.bias = float(np.log((share + 0.02) / (1.02 - share)))  # one class only: its share is all there is to know
+    elif held:
+        raw = np.array([model.bias + w[at].sum() for at, _ in held])
+        y = np.array([r[1] for r in held], float)
+        rate = np.where(y == 1, prior / share, (1 - prior) / (1 - share))  # the sample has more of the rarer class
+        for _ in range(500):
+            e = (1 / (1 + np.exp(-np.clip(model.scale * raw + model.shift, -30, 30))) - y) * rate / rate.mean()
+            model.scale = max(0.05, model.scale - 0.2 * float((e * raw).mean()) / max(1.0, float((raw * raw).mean())))
+            model.shift -= 0.2 * float(e.mean())
+    return model
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [np.unique(features([t])[0]).astype(np.int32) for _, run in runs(batch.column("text")) for t in run]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "toxic", "coordinates"])
+
+
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Fits on labelled documents outside the held-out fifth; docs has doc_id and text, labels doc_id and toxic."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.coalesce(fold("doc_id", 5), F.lit(0)) != 0)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
