@@ -228,12 +228,18 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: set[int] = set()  # a task makes a set once, however many copies it reads
     for batch in batches:
         for _, run in runs(batch.column("text").cast(pa.binary())):
             owner, token = H.shingle_sets(run)
             sizes, ids = H.set_ids(owner, token, len(run))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(token.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["set_id", "tokens"])
+            new = np.zeros(len(run), bool)
+            for i, x in enumerate(ids.tolist()):
+                if x not in seen:
+                    seen.add(x)
+                    new[i] = True
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(new, sizes, 0))]).astype(np.int32)), pa.array(token[new[owner]].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), lists], ["set_id", "tokens"]).filter(pa.array(new))
 
 
 def _keyed(costs):
@@ -289,10 +295,19 @@ def _pivoted(kept: DataFrame) -> DataFrame:
 
 
 class Verifier:
-    """Which of given pairs link. Sketches come with the class list; whole sets are read again from the texts, once per set."""
+    """Which of given pairs link. Sketches come with the class list; whole sets are read again from the texts.
+
+    A pair's first set is made where its text lies, and travels once, to the second; only second sets, the pivots, are
+    dealt out by themselves. A task sends a set once, however many rows have it.
+    """
 
     def __init__(self, docs: DataFrame, classes: DataFrame):
-        self.docs, self.classes, self.sets, self.tested = docs, classes, None, None
+        self.docs, self.classes, self.tested = docs, classes, None
+
+    def _sets(self, ids: DataFrame) -> DataFrame:
+        """(set_id, tokens) of the classes in ids (set_id)."""
+        wanted = keep(ids.distinct().join(self.classes.select("set_id", "first_id"), "set_id").select(F.col("first_id").alias("doc_id")))
+        return self.docs.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(released(_sets), "set_id long, tokens array<long>")
 
     def links(self, pairs: DataFrame) -> DataFrame:
         side = lambda x: self.classes.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
@@ -301,18 +316,12 @@ class Verifier:
         pairs = keep(pairs)
         self.tested = pairs if self.tested is None else keep(self.tested.union(pairs))
         near = keep(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(released(_near), "a long, b long"))
-        need = near.select(F.col("a").alias("set_id")).union(near.select(F.col("b").alias("set_id"))).distinct()
-        if self.sets is not None:
-            need = need.join(self.sets.select("set_id"), "set_id", "left_anti")
-        wanted = keep(need.join(self.classes.select("set_id", "first_id"), "set_id").select(F.col("first_id").alias("doc_id")))
-        if not wanted.isEmpty():
-            fresh = keep(self.docs.join(bounded(wanted), "doc_id", "left_semi").mapInArrow(released(_sets), "set_id long, tokens array<long>").dropDuplicates(["set_id"]))
-            self.sets = fresh if self.sets is None else self.sets.union(fresh)
-        if self.sets is None:
+        if near.isEmpty():
             return near
-        left, right = (self.sets.select(F.col("set_id").alias(x), F.col("tokens").alias(f"t{x}")) for x in "ab")
+        first = self._sets(near.select(F.col("a").alias("set_id"))).select(F.col("set_id").alias("a"), F.col("tokens").alias("ta")).join(bounded(near), "a")
+        second = self._sets(near.select(F.col("b").alias("set_id"))).select(F.col("set_id").alias("b"), F.col("tokens").alias("tb")).dropDuplicates(["b"])
         shared = F.size(F.array_intersect("ta", "tb"))
-        return keep(near.join(left, "a").join(right, "b").where(DEN * shared >= NUM * (F.size("ta") + F.size("tb") - shared)).select("a", "b"))
+        return keep(first.join(second, "b").where(DEN * shared >= NUM * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct())
 
 
 def _pairs(df: DataFrame, x: str, y: str) -> DataFrame:
