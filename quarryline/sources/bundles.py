@@ -16,25 +16,27 @@ ENTRY_KEYS = {
 
 
 def link_targets(members: DataFrame) -> DataFrame:
-    """A5: (archive, path, target, state) of links, followed to the end: file, missing, cycle or outside.
+    """A5: (archive, path, target, state, links) of links, followed to the end: file, missing, cycle or outside.
 
     members is (archive, path, link), link NULL for plain files. Chains are halved in each round (a link takes over the target
     of its target), so a chain of n links needs about log2(n) rounds; links that still point at links
-    after as many rounds as any chain could need run in a circle.
+    after as many rounds as any chain could need run in a circle. The column links counts a chain's links; in a circle
+    it is NULL.
     """
     files = members.where("link is null").select("archive", F.col("path").alias("end")).distinct()
-    links = cut(members.where("link is not null").select("archive", "path", resolve_link(F.col("path"), F.col("link")).alias("target")))
+    links = cut(members.where("link is not null").select("archive", "path", resolve_link(F.col("path"), F.col("link")).alias("target"), F.lit(1).cast("long").alias("links")))
     rounds = max(1, links.count()).bit_length() + 1
     now = links
     for _ in range(rounds):
-        step = now.select("archive", F.col("path").alias("target"), F.col("target").alias("next"), F.lit(True).alias("is_link"))
+        step = now.select("archive", F.col("path").alias("target"), F.col("target").alias("next"), F.col("links").alias("more"), F.lit(True).alias("is_link"))
         met = cut(now.join(step, ["archive", "target"], "left"))
         if met.where("is_link").isEmpty():
             break
-        now = cut(met.select("archive", "path", F.when(F.col("is_link"), F.col("next")).otherwise(F.col("target")).alias("target")))
+        now = cut(met.select("archive", "path", F.when(F.col("is_link"), F.col("next")).otherwise(F.col("target")).alias("target"), (F.col("links") + F.coalesce("more", F.lit(0))).alias("links")))
     still = now.select("archive", F.col("path").alias("target"), F.lit(True).alias("is_link"))
-    met = now.join(still, ["archive", "target"], "left").join(files, (now["archive"] == files["archive"]) & (now["target"] == files["end"]), "left").select(now["archive"], now["path"], now["target"], "is_link", "end")
-    return met.select("archive", "path", "target", F.when(F.col("target").isNull(), "outside").when(F.col("is_link"), "cycle").when(F.col("end").isNotNull(), "file").otherwise("missing").alias("state"))
+    met = now.join(still, ["archive", "target"], "left").join(files, (now["archive"] == files["archive"]) & (now["target"] == files["end"]), "left").select(now["archive"], now["path"], now["target"], "links", "is_link", "end")
+    state = F.when(F.col("target").isNull(), "outside").when(F.col("is_link"), "cycle").when(F.col("end").isNotNull(), "file").otherwise("missing")
+    return met.select("archive", "path", "target", state.alias("state"), F.when(F.col("is_link").isNull(), F.col("links")).alias("links"))
 
 
 def bundles(members: DataFrame, executables: DataFrame) -> DataFrame:
