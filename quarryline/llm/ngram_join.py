@@ -13,7 +13,7 @@ neighbourhoods down to single tokens as well and give up nothing.
 
 Each bucket of equal keys is compared to its first member, not pairwise. Where the other members then still
 lie in several components, those outside the bucket's first component meet the rest in blocks of bounded
-size. A comparison counts differing segments of two byte sketches, a lower bound of the symmetric difference;
+size. A comparison counts differing bits of two parity sketches, a lower bound of the symmetric difference;
 only what that leaves becomes a row and is verified on the whole sets. Only identities, keys, sketches and the
 sets of near pairs are shuffled, and frequent buckets are dealt out by a salt.
 """
@@ -133,23 +133,25 @@ def keys(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray, ids: np.ndarra
 
 
 def sketches(owner: np.ndarray, token: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """A byte for each of 2^k segments, k the band: the sum of the segment's tokens. Sketches of different bands fold."""
-    width = np.where(sizes > 0, 1 << np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64), 0)
+    """A bit for each of 2^(k + 1) segments, 8 at least, k the band: whether its tokens are odd in number. Sketches of different bands fold.
+
+    Parities of twice as many segments tell as many differences as a byte-wide sum of each segment, in a quarter of the space.
+    """
+    width = np.where(sizes > 0, np.maximum(8, 2 << np.floor(np.log2(np.maximum(sizes, 1))).astype(np.int64)), 0)
     base = np.cumsum(width) - width
-    out = np.zeros(int(width.sum()), np.uint8)
-    mixed = H.mix(token, 12)
-    np.add.at(out, base[owner] + (mixed & (width[owner] - 1).astype(np.uint64)).astype(np.int64), (mixed >> H.U(56)).astype(np.uint8))
-    return [out[i : i + w].tobytes() for i, w in zip(base.tolist(), width.tolist(), strict=True)]
+    place = base[owner] + (H.mix(token, 12) & (width[owner] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.packbits(np.bincount(place, minlength=int(width.sum())) & 1 == 1, bitorder="little")
+    return [out[i : i + w].tobytes() for i, w in zip((base // 8).tolist(), (width // 8).tolist(), strict=True)]
 
 
 def may_link(size_a: int, size_b: int, sketch_a: bytes, sketch_b: bytes) -> bool:
-    """False only if the sets cannot link: each differing segment holds a token that one side lacks."""
+    """False only if the sets cannot link: each differing bit's segment holds a token that one side lacks."""
     x, y = np.frombuffer(sketch_a, np.uint8), np.frombuffer(sketch_b, np.uint8)
     while len(x) > len(y):
-        x = x[: len(x) // 2] + x[len(x) // 2 :]
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
     while len(y) > len(x):
-        y = y[: len(y) // 2] + y[len(y) // 2 :]
-    return NUM * max(size_a, size_b) <= DEN * min(size_a, size_b) and (DEN + NUM) * np.count_nonzero(x != y) <= (DEN - NUM) * (size_a + size_b)
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return NUM * max(size_a, size_b) <= DEN * min(size_a, size_b) and (DEN + NUM) * int(np.bitwise_count(x ^ y).sum()) <= (DEN - NUM) * (size_a + size_b)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +181,7 @@ class _Blocks:
         out = np.zeros((self.at[i + 1] - self.at[i], width), np.uint8)
         for j in range(len(out)):
             lo, hi = self.starts[self.at[i] + j], self.starts[self.at[i] + j + 1]
-            out[j] = self.data[lo:hi].reshape(-1, width).sum(0, dtype=np.uint8)
+            out[j] = np.bitwise_xor.reduce(self.data[lo:hi].reshape(-1, width), axis=0)
         return out
 
 
@@ -201,7 +203,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ok = (label != its) & (NUM * np.maximum(size, n) <= DEN * np.minimum(size, n))
                 if not ok.any():
                     continue
-                ok &= (DEN + NUM) * np.count_nonzero(table != sketch, axis=1) <= (DEN - NUM) * (size + n)
+                ok &= (DEN + NUM) * np.bitwise_count(table ^ sketch).sum(1, dtype=np.int64) <= (DEN - NUM) * (size + n)
                 found = np.nonzero(ok)[0].tolist()
                 large = set(odd.bases[j].as_py() or ()) if found else set()
                 for k in found:
